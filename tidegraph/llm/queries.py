@@ -7,28 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix
+from . import langid, quality, rules, simhash, suffix
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, net).select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_docs(spark, sf_dir), shingle=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_docs(spark, sf_dir))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.exact_substrings(_docs(spark, sf_dir), length=50)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = langid.identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_simhash": op2_simhash,
+        "op3_rules": op3_rules,
         "op4_suffix_array": op4_suffix_array,
+        "op6_langid": op6_langid,
     }
 
 
