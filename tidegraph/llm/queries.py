@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, rules, simhash, suffix
+from . import langid, mixing, quality, rules, simhash, suffix, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(_docs(spark, sf_dir))
+    return found.select("doc_id", "mix_source", "mix_lang", "mix_topic", "n_tokens", F.round("target_weight", 6).alias("target_weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -48,8 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": op3_rules,
         "op4_suffix_array": op4_suffix_array,
         "op6_langid": op6_langid,
+        "op9_mixing": op9_mixing,
+        "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
