@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, rules, simhash, suffix, topk
+from . import langid, mixing, quality, rules, simhash, suffix, tokens, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,17 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the machine keeps a public tokenizer; the files are never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(spark, tokens.dataset(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixture(_docs(spark, sf_dir))
     return found.select("doc_id", "mix_source", "mix_lang", "mix_topic", "n_tokens", F.round("target_weight", 6).alias("target_weight"), F.round("probability", 6).alias("probability"), "kept")
@@ -57,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_rules": op3_rules,
         "op4_suffix_array": op4_suffix_array,
         "op6_langid": op6_langid,
+        "op7_tokens": op7_tokens,
         "op9_mixing": op9_mixing,
         "op10_topk": op10_topk,
     }
