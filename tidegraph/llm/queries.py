@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, rules, simhash, suffix, tokens, topk
+from . import langid, mixing, pieces, quality, rules, simhash, suffix, tokens, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_docs(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     found = langid.identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), langid.fit(docs))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_rules": op3_rules,
         "op4_suffix_array": op4_suffix_array,
+        "op5_pieces": op5_pieces,
         "op6_langid": op6_langid,
         "op7_tokens": op7_tokens,
         "op9_mixing": op9_mixing,
