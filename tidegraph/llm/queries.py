@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, rules, simhash, suffix, tokens, topk
+from . import langid, mixing, pieces, quality, rules, simhash, suffix, tokens, topk, windows
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,12 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(spark, tokens.dataset(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1))
 
 
+def op8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windows.near_passages(_docs(spark, sf_dir))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("kept").cast("string").alias("text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixture(_docs(spark, sf_dir))
     return found.select("doc_id", "mix_source", "mix_lang", "mix_topic", "n_tokens", F.round("target_weight", 6).alias("target_weight"), F.round("probability", 6).alias("probability"), "kept")
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pieces": op5_pieces,
         "op6_langid": op6_langid,
         "op7_tokens": op7_tokens,
+        "op8_windows": op8_windows,
         "op9_mixing": op9_mixing,
         "op10_topk": op10_topk,
     }

@@ -144,3 +144,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: in
     label = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("low").alias("component_id"))
     return prints.join(label.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; equal rows count as one.
+
+    Rows with a null doc_id stay only where a component has no doc_id at all.
+    """
+    chosen = near_duplicates(docs, shingle, radius, tile).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__chosen")).distinct()
+    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen")), "left_semi").dropDuplicates(["doc_id", "text"])

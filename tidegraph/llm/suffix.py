@@ -274,7 +274,7 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], far[np.append(at[1:], len(start)) - 1] if len(start) else far
 
 
-def _ordered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list]:
+def ordered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list]:
     """Texts, order values and doc_ids of a bucket, in an order that every reading repeats."""
     table = table.take(pa.array(np.argsort(table.column("rk").to_numpy(), kind="stable")))
     ids = table.column("doc_id").to_pylist()
@@ -306,7 +306,7 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     width = 2 * length - GRAM + 2
 
     def names(bucket, table):
-        texts, _, _ = _ordered(table)
+        texts, _, _ = ordered(table)
         rows = []
         for c, (a, b) in enumerate(chunked(texts)):
             chunk = Chunk(texts[a:b], length)
@@ -328,7 +328,7 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         return table.drop_columns("block").append_column("mask", pa.array(masks, pa.binary()))
 
     def runs(_, table, masks):
-        texts, order_value, _ = _ordered(table)
+        texts, order_value, _ = ordered(table)
         bucket = table.column("bucket")[0].as_py() if len(table) else 0
         bits = {(c, p): m for c, p, m in zip(*(masks.column(x).to_pylist() for x in ("chunk", "part", "mask")), strict=True)}
         rows = []
@@ -375,7 +375,7 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         return pa.table(list(zip(*out, strict=True)) if out else [[]] * 3, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("block", pa.binary())]))
 
     def removed(_, table, blocks):
-        texts, _, ids = _ordered(table)
+        texts, _, ids = ordered(table)
         gone: dict[int, list] = {}
         for c, block in zip(blocks.column("chunk").to_pylist(), blocks.column("block").to_pylist(), strict=True):
             gone.setdefault(c, []).append(common.unpack(block))
