@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from . import registry, retrieval
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = retrieval.flagship
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)
