@@ -71,8 +71,10 @@ def alias_by_rules(a: Column, b: Column) -> Column:
 
 
 def answer_form(c: Column) -> Column:
-    """For exact match: lower case, articles dropped, punctuation to blanks."""
-    x = F.regexp_replace(F.lower(c), r"\b(a|an|the)\b", " ")
+    """For exact match: lower case, articles dropped, punctuation to blanks. Words end where letters, digits and _ end, in any script."""
+    x = F.lower(c)
+    for _ in range(2):  # neighbouring articles share the blank between them
+        x = F.regexp_replace(x, r"(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])", "$1 $2")
     return collapsed(F.regexp_replace(x, r"[^a-z0-9\s]", " "))
 
 

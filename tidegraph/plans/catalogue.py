@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, registry, retrieval, tiers  # noqa: F401  each adds its queries
+from . import graphs, registry, retrieval, streams, texts, tiers  # noqa: F401  each adds its queries
 
 flagship = retrieval.flagship
 
