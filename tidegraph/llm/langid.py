@@ -134,7 +134,8 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
     band = np.searchsorted(edges, size, side="right") - 1
     floor = np.zeros(len(edges), np.float32)
     for b in range(len(edges)):
-        if (band == b).sum() >= 20:  # far below the lower tail of its band; with few rows nothing is rejected
+        floor[b] = floor[b - 1] if b else 0  # where rows are few, that of shorter texts, which lie farther off; else nothing is rejected
+        if (band == b).sum() >= 20:  # below the lower tail of its band
             low, mid = np.quantile(best[band == b], [0.01, 0.5])
             floor[b] = max(0.0, low - 0.8 * (mid - low))
     return Model(names, c, idf, floor, edges)
