@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Forms of companies, honorifics and phrases that the results depend on.
 COMPANY_FORMS = "inc|corp|co|ltd|llc|group|foundation|incorporated|corporation|limited"
@@ -57,17 +61,27 @@ def subsequence(short: Column, long: Column) -> Column:
 
 
 def alias_by_rules(a: Column, b: Column) -> Column:
-    """Alias of two token arrays: equal, acronym, prefixes, last name or long enough part, ordered subsequence; the edit-ratio rule is apart."""
-    a_first = F.size(a) <= F.size(b)
-    s, g = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
-    joined_s, joined_g = F.array_join(s, " "), F.array_join(g, " ")
+    """Alias of two token arrays, of which the one that is shorter in characters may stand for the other.
+
+    Equal; the initials; as many tokens, each a prefix; a single token that is the last, or any of three characters or
+    more; tokens in the same order.  The edit ratio is apart, see edit_ratio.
+    """
+    joined_a, joined_b = F.array_join(a, " "), F.array_join(b, " ")
+    a_short = F.length(joined_a) < F.length(joined_b)
+    s, g = F.when(a_short, a).otherwise(b), F.when(a_short, b).otherwise(a)
     initials = F.array_join(F.transform(g, lambda t: F.substring(t, 1, 1)), "")
     prefixes = (F.size(s) == F.size(g)) & F.forall(F.zip_with(s, g, lambda x, y: F.startswith(y, x)), lambda ok: ok)
-    one = F.size(s) == 1
     only = F.get(s, F.lit(0))
-    single = one & ((F.element_at(g, -1) == only) | ((F.length(only) >= 3) & F.contains(joined_g, only)))
+    single = (F.size(s) == 1) & (F.size(g) >= 2) & ((F.element_at(g, -1) == only) | ((F.length(only) >= 3) & F.array_contains(g, only)))
+    ordered = (F.size(s) < F.size(g)) & subsequence(s, g)
     some = (F.size(s) > 0) & (F.size(g) > 0)
-    return F.coalesce(some & ((joined_s == joined_g) | (F.array_join(s, "") == initials) | prefixes | single | subsequence(s, g)), F.lit(False))
+    return F.coalesce(some & ((joined_a == joined_b) | (F.array_join(s, " ") == initials) | prefixes | single | ordered), F.lit(False))
+
+
+@F.pandas_udf(DoubleType())
+def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matched characters over all of them, twice (difflib); 0 where either is null. Arrow batches: no expression computes it."""
+    return pd.Series([0.0 if not x or not y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def answer_form(c: Column) -> Column:

@@ -38,19 +38,27 @@ def candidates(entities: DataFrame, index: DataFrame, k: int = 50) -> DataFrame:
     return ranked(near, "q_id", [F.desc("cos"), F.col("uid")], k).withColumnRenamed("q_id", "ent_id")
 
 
-def flagged(cand: DataFrame) -> DataFrame:
-    """Equality of names and types, and the alias rules, of each candidate."""
+def flagged(cand: DataFrame, ratio: float | None = 0.85) -> DataFrame:
+    """Equality of names and types, and alias, of each candidate; ratio: the edit ratio above which names are aliases (None: rules alone).
+
+    The ratio is computed only for candidates of the same type that no rule has settled.
+    """
     a, b = text.name_tokens(F.col("name")), text.name_tokens(F.col("i_name"))
-    return cand.withColumns({
+    out = cand.withColumns({
         "name_eq": text.normalize_name(F.col("name")) == text.normalize_name(F.col("i_name")),
         "type_eq": text.normalize_type(F.col("type")) == text.normalize_type(F.col("i_type")),
         "alias": text.alias_by_rules(a, b),
     })
+    if ratio is None:
+        return out
+    open_ = F.col("type_eq") & ~F.col("name_eq") & ~F.col("alias")
+    got = text.edit_ratio(F.when(open_, F.array_join(a, " ")), F.when(open_, F.array_join(b, " ")))
+    return out.withColumn("ratio", got).withColumn("alias", F.col("alias") | (F.col("ratio") > ratio)).drop("ratio")
 
 
-def cascade(cand: DataFrame, reuse_cos: float = 0.92, same_desc: float = 0.6, tau_desc: float = 0.5) -> DataFrame:
+def cascade(cand: DataFrame, reuse_cos: float = 0.92, same_desc: float = 0.6, tau_desc: float = 0.5, ratio: float | None = 0.85) -> DataFrame:
     """(ent_id, decision, match_uid, uid, link): one candidate is chosen (exact, alias, nearest) and a ladder decides."""
-    x = flagged(cand)
+    x = flagged(cand, ratio)
     order = F.when(F.col("name_eq") & F.col("type_eq"), 0).when(F.col("type_eq") & F.col("alias"), 1).otherwise(2)
     m = ranked(x.withColumn("class", order), "ent_id", [F.col("class"), F.col("rank")], 1, rank="pick")
     d = F.round(text.desc_similarity(F.col("desc"), F.col("i_desc"), F.col("cos")), 6)

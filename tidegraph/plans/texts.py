@@ -50,13 +50,16 @@ def desc_similarity(spark, d):
     return _part_pairs(spark, d).select("a", "b", F.round(text.desc_similarity(F.col("x"), F.col("y"), F.lit(0.8)), 6).alias("sim"))
 
 
-@query("alias_pairs", f"""SELECT a, b FROM (SELECT a, b, CASE WHEN len(tx) <= len(ty) THEN tx ELSE ty END AS s, CASE WHEN len(tx) <= len(ty) THEN ty ELSE tx END AS g FROM (SELECT a, b, {_TOK('an')} AS tx, {_TOK('bn')} AS ty FROM ({_PAIRS}))) WHERE
-  (len(s) > 0 AND len(g) > 0 AND (array_to_string(s, ' ') = array_to_string(g, ' ') OR array_to_string(s, '') = array_to_string(list_transform(g, lambda t: t[1]), '')
+def _alias(a: str, b: str) -> str:
+    """The alias rules over two token lists, the shorter of which is picked by a lateral selection."""
+    return f"""(SELECT len(s) > 0 AND len(g) > 0 AND (array_to_string(s, ' ') = array_to_string(g, ' ') OR array_to_string(s, ' ') = array_to_string(list_transform(g, lambda t: t[1]), '')
   OR (len(s) = len(g) AND len(list_filter(range(1, len(s) + 1), lambda i: starts_with(g[i], s[i]))) = len(s))
-  OR (len(s) = 1 AND (g[len(g)] = s[1] OR (length(s[1]) >= 3 AND contains(array_to_string(g, ' '), s[1]))))
-  OR (len(s) = 1 AND list_contains(g, s[1])) OR (len(s) = len(g) AND array_to_string(s, ' ') = array_to_string(g, ' '))
-  OR (len(s) = 2 AND len(g) > 2 AND len(list_filter(range(1, len(g)), lambda i: g[i] = s[1] AND list_contains(g[i + 1:], s[2]))) > 0)
-  OR (len(s) = 3 AND len(g) > 3 AND len(list_filter(range(1, len(g)), lambda i: g[i] = s[1] AND len(list_filter(range(i + 1, len(g)), lambda j: g[j] = s[2] AND list_contains(g[j + 1:], s[3]))) > 0)) > 0)))""")
+  OR (len(s) = 1 AND len(g) >= 2 AND (g[len(g)] = s[1] OR (length(s[1]) >= 3 AND list_contains(g, s[1]))))
+  OR (len(s) < len(g) AND list_reduce(g, lambda n, t: CASE WHEN n < len(s) AND s[n + 1] = t THEN n + 1 ELSE n END, 0::BIGINT) = len(s)))
+  FROM (SELECT CASE WHEN length(array_to_string({a}, ' ')) < length(array_to_string({b}, ' ')) THEN {a} ELSE {b} END AS s, CASE WHEN length(array_to_string({a}, ' ')) < length(array_to_string({b}, ' ')) THEN {b} ELSE {a} END AS g))"""
+
+
+@query("alias_pairs", f"""SELECT a, b FROM (SELECT a, b, {_TOK('an')} AS tx, {_TOK('bn')} AS ty FROM ({_PAIRS})) WHERE {_alias('tx', 'ty')}""")
 def alias_pairs(spark, d):
     p = _part_pairs(spark, d)
     return p.where(text.alias_by_rules(text.name_tokens(F.col("an")), text.name_tokens(F.col("bn")))).select("a", "b")
@@ -81,6 +84,11 @@ def _triples(spark, d):
 _ID = lambda *c: f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(c)})), 1, 15) AS BIGINT)"
 
 
+@query("edit_ratio")
+def edit_ratio(spark, d):
+    return _part_pairs(spark, d).select("a", "b", F.round(text.edit_ratio(F.col("an"), F.col("bn")), 6).alias("ratio"))
+
+
 @query("exact_dedup", f"""SELECT {_ID('name', 'type', '"desc"')} AS uid, count(*) AS n FROM ({_TRIPLES}) GROUP BY ALL""")
 def exact_dedup(spark, d):
     return alignment.exact_cache(_triples(spark, d)).groupBy("uid").agg(F.count("*").alias("n"))
@@ -101,8 +109,7 @@ _EV = """SELECT vec_id, 'Name ' || (vec_id % 40) || CASE WHEN vec_id % 3 = 0 THE
 _CAND = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ent_id ORDER BY cos DESC, uid) AS rank FROM (
   SELECT a.vec_id AS ent_id, a.name, a.type, a."desc", b.vec_id AS uid, b.name AS iname, b.type AS itype, b."desc" AS idesc,
     round(list_inner_product(a.vec, b.vec) / (sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec))), 6) AS cos FROM ev a JOIN ev b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0)) WHERE rank <= 50"""
-_FLAG = f"""SELECT *, na = nb AS name_eq, lower(trim(type)) = lower(trim(itype)) AS type_eq, ta = tb OR (len(ta) = len(tb) AND len(list_filter(range(1, len(ta) + 1), lambda i: starts_with(CASE WHEN len(ta) <= len(tb) THEN tb[i] ELSE ta[i] END, CASE WHEN len(ta) <= len(tb) THEN ta[i] ELSE tb[i] END))) = len(ta)) OR (least(len(ta), len(tb)) = 1 AND (CASE WHEN len(ta) <= len(tb) THEN ta[1] ELSE tb[1] END) = (CASE WHEN len(ta) <= len(tb) THEN tb[len(tb)] ELSE ta[len(ta)] END))
-    OR (least(len(ta), len(tb)) = 1 AND length(CASE WHEN len(ta) <= len(tb) THEN ta[1] ELSE tb[1] END) >= 3 AND contains(array_to_string(CASE WHEN len(ta) <= len(tb) THEN tb ELSE ta END, ' '), CASE WHEN len(ta) <= len(tb) THEN ta[1] ELSE tb[1] END)) AS alias,
+_FLAG = f"""SELECT *, na = nb AS name_eq, lower(trim(type)) = lower(trim(itype)) AS type_eq, {_alias('ta', 'tb')} AS alias,
   {_J('da', 'db')} AS j FROM (SELECT *, {_NORM('name')} AS na, {_NORM('iname')} AS nb, {_TOK('name')} AS ta, {_TOK('iname')} AS tb, {_DTOK('"desc"')} AS da, {_DTOK('idesc')} AS db FROM cand)"""
 _PICK = """SELECT *, round(CASE WHEN j < 0.15::DOUBLE THEN j WHEN j > 0.65::DOUBLE THEN 0.5 * j + 0.5 ELSE 0.5 * j + 0.5 * cos END, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY ent_id ORDER BY CASE WHEN name_eq AND type_eq THEN 0 WHEN type_eq AND alias THEN 1 ELSE 2 END, rank) AS pick FROM flag) WHERE pick = 1"""
 _CASC = f"""SELECT ent_id, decision, match_uid, CASE WHEN starts_with(decision, 'reuse') THEN match_uid ELSE {_ID('name', 'type', '"desc"')} END AS uid,
@@ -113,7 +120,8 @@ _CASC = f"""SELECT ent_id, decision, match_uid, CASE WHEN starts_with(decision,
 def _cascade(spark, d):
     e = _entities_with_vectors(spark, d)
     batch = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "ent_id")
-    return alignment.cascade(alignment.candidates(batch, e.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "uid"), 50))
+    index = e.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "uid")
+    return alignment.cascade(alignment.candidates(batch, index, 50), ratio=None)  # the edit ratio has no SQL form
 
 
 @query("alignment_cascade", X.with_(["chunks"], _CASC, {"ev": _EV, "cand": _CAND, "flag": _FLAG, "pick": _PICK}))
