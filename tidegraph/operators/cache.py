@@ -43,9 +43,8 @@ def evictions(state: DataFrame, c_max: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("warm", "day").orderBy("last_access", "chunk_id"))
     total = days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     x = keyed.withColumn("day", F.to_date("last_access")).withColumn("r", rank).join(before, ["warm", "day"])
-    x = x.join(F.broadcast(cold)).join(F.broadcast(total))  # one row each
-    position = F.col("r") + F.coalesce("before", F.lit(0)) + F.when(F.col("warm") == 1, F.col("cold")).otherwise(0)
-    return x.withColumn("position", position.cast("bigint")).where(F.col("position") <= F.col("total") - c_max).select("chunk_id", "position")
+    position = F.col("r") + F.coalesce("before", F.lit(0)) + F.when(F.col("warm") == 1, cold.scalar()).otherwise(0)
+    return x.withColumn("position", position.cast("bigint")).where(F.col("position") <= total.scalar() - c_max).select("chunk_id", "position")
 
 
 def prune(state: DataFrame, now: Column, ttl_s: int, c_max: int) -> DataFrame:

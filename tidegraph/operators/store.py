@@ -46,8 +46,7 @@ def merge_results(spark: SparkSession, paths: list[str], schema: str) -> DataFra
 
 
 def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    a = vertices.agg(F.count("*").alias("nodes"))
-    return a.join(edges.agg(F.count("*").alias("edges")))
+    return vertices.agg(F.count("*").alias("nodes")).withColumn("edges", edges.agg(F.count("*")).scalar())
 
 
 def schema_summary(edges: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def upsert_triplet(spark, d):
 def storage_footprint(spark, d):
     from .registry import table
 
-    counts = store.graph_stats(X.l2_vertices(spark, d), X.kg_edges(spark, d)).join(table(spark, d, "embeddings").agg(F.count("*").alias("vectors")))
+    counts = store.graph_stats(X.l2_vertices(spark, d), X.kg_edges(spark, d)).withColumn("vectors", table(spark, d, "embeddings").agg(F.count("*")).scalar())
     return counts.select(*[v.alias(k) for k, v in store.footprint("nodes", "edges", "vectors", 64).items()])
 
 

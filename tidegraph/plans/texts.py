@@ -333,5 +333,5 @@ def batch_fetch(spark, d):
 @query("efficiency_ratio", "SELECT o_orderpriority AS system, round(avg(o_totalprice), 4) AS per_q, round(avg(o_totalprice) / (SELECT avg(o_totalprice) FROM orders WHERE o_orderpriority = '1-URGENT'), 4) AS ratio FROM orders GROUP BY o_orderpriority")
 def efficiency_ratio(spark, d):
     o = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("system")).agg(F.avg("o_totalprice").alias("m"))
-    base = o.where("system = '1-URGENT'").select(F.col("m").alias("b"))  # one row
-    return o.join(F.broadcast(base)).select("system", F.round("m", 4).alias("per_q"), F.round(F.col("m") / F.col("b"), 4).alias("ratio"))
+    base = o.where("system = '1-URGENT'").select("m").scalar()
+    return o.select("system", F.round("m", 4).alias("per_q"), F.round(F.col("m") / base, 4).alias("ratio"))

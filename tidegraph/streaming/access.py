@@ -49,8 +49,7 @@ def run(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     rows = spark.read.parquet(f"{at}/out").drop("batch")
     if mode == "complete":
-        last = rows.agg(F.max("__batch").alias("__batch"))
-        return rows.join(F.broadcast(last), "__batch").drop("__batch")  # one row
+        return rows.where(F.col("__batch") == rows.agg(F.max("__batch")).scalar()).drop("__batch")
     if mode == "update" and key:
         return store.upsert(rows.drop("__batch").limit(0), rows.withColumnRenamed("__batch", "write_seq"), key).drop("write_seq")
     return rows.drop("__batch")
