@@ -158,3 +158,14 @@ def heuristic_entities(query: Column, most: int = 5) -> Column:
 
 def render_context(chunk: Column, text: Column) -> Column:
     return F.concat(F.lit("["), chunk, F.lit("] "), text)
+
+
+def plain_path(c: Column) -> Column:
+    """Path text without the markup of names and relations: ({name: x})-[r:{relationship: y}] to (x)-[y]."""
+    x = F.regexp_replace(c, r"\{name: ([^}]*)\}", "$1")
+    return F.regexp_replace(x, r"\[[A-Za-z_]*:?\{relationship: ([^}]*)\}\]", "[$1]")
+
+
+def sorted_texts(c: Column) -> Column:
+    """Nested lists of texts as one sorted list, empty ones dropped."""
+    return F.array_sort(F.filter(F.transform(F.flatten(c), lambda t: F.trim(t)), lambda t: t != ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import metrics, vector
 
 
 def answers(qa: DataFrame, alpha: float = 0.0) -> DataFrame:
@@ -27,3 +27,13 @@ def retrieval(hits: DataFrame, relevant: DataFrame) -> DataFrame:
 
 def report(per_question: DataFrame, columns: list[str]) -> DataFrame:
     return per_question.agg(F.count("*").alias("questions"), *[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in columns])
+
+
+def semantic(pairs: DataFrame) -> DataFrame:
+    """pairs(q_id, pvec, rvec) of predictions and references: the best cosine of each question."""
+    return pairs.select("q_id", F.round(vector.cosine(F.col("pvec"), F.col("rvec")), 6).alias("s")).groupBy("q_id").agg(F.max("s").alias("semantic"))
+
+
+def phases(runs: DataFrame) -> DataFrame:
+    """runs(phase, q_id, correct): accuracy of each phase (hot tier alone, persistent tier alone, cold vectors)."""
+    return runs.groupBy("phase").agg(F.count("*").alias("questions"), F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"))

@@ -60,3 +60,8 @@ def footprint(nodes: int | str, edges: int | str, vectors: int | str, dim: int,
     n, e, v = (F.expr(str(x)) for x in (nodes, edges, vectors))
     logical, data = (n * 100 + e * 50).cast("double"), (v * dim * 4).cast("double")
     return {"l2_logical": logical, "l2_disk": F.round(logical * 4.57, 2), "vector_data": data, "vector_index": F.round(data * 1.5, 2), "l1_bound": F.lit(float(c_max * 5 * 200 + c_max * 5 * 100))}
+
+
+def unexpired(rows: DataFrame, ts: str, now, days: int = 14) -> DataFrame:
+    """Rows written within the last `days` before now."""
+    return rows.where(F.col(ts).cast("timestamp") > now - F.make_dt_interval(F.lit(days)))

@@ -270,9 +270,35 @@ def mrr(spark, d):
     return evaluate.report(_order_hits(spark, d), ["hit", "rr"])
 
 
+@query("semantic_score", "SELECT CAST(a.label AS BIGINT) AS q_id, max(round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6)) AS semantic FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 100 = 0 GROUP BY a.label")
+def semantic_score(spark, d):
+    c = X.chunks(spark, d)
+    a = c.where("vec_id % 100 = 0").select(F.col("label").alias("q_id"), F.col("vec").alias("pvec"), F.col("vec_id").alias("a"))
+    b = c.select(F.col("label").alias("q_id"), F.col("vec").alias("rvec"), F.col("vec_id").alias("b"))
+    return evaluate.semantic(a.join(b, "q_id").where("a < b"))
+
+
+@query("phase_accuracy", "SELECT o_orderpriority AS phase, count(*) AS questions, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS accuracy FROM orders GROUP BY ALL")
+def phase_accuracy(spark, d):
+    return evaluate.phases(table(spark, d, "orders").select(F.col("o_orderpriority").alias("phase"), F.col("o_orderkey").alias("q_id"), (F.col("o_orderstatus") == "F").alias("correct")))
+
+
+@query("path_cleanup", r"""SELECT s_suppkey, '(' || s_name || ')-[SUPPLIES]->(' || s_nationkey || ')' AS path, s_name || '|a' AS texts FROM supplier""")
+def path_cleanup(spark, d):
+    s = table(spark, d, "supplier")
+    raw = F.concat(F.lit("({name: "), "s_name", F.lit("})-[e:{relationship: SUPPLIES}]->({name: "), F.col("s_nationkey").cast("string"), F.lit("})"))
+    names = F.array(F.array(F.concat(F.lit(" "), "s_name"), F.lit("")), F.array(F.concat(F.lit("a "))))
+    return s.select("s_suppkey", text.plain_path(raw).alias("path"), F.array_join(text.sorted_texts(names), "|").alias("texts"))
+
+
 # --- sources
 
 
+@query("unexpired_rows", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 14 DAY")
+def unexpired_rows(spark, d):
+    return store.unexpired(table(spark, d, "events"), "ts", F.lit("2024-01-30 00:00:00").cast("timestamp")).select("event_id")
+
+
 @query("corpus_dedup", "SELECT url AS title, html_md5 FROM (SELECT split_part(url, '/', 3) AS url, md5(html) AS html_md5, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS r FROM pages WHERE html <> '') WHERE r = 1")
 def corpus_dedup(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").alias("q_id"), F.lit(0).alias("pos"), F.element_at(F.split("url", "/"), 3).alias("title"), F.col("html").alias("body"))
