@@ -72,7 +72,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     common.small_batches(spark)
     rows = quantised(vectors, scale)
     wanted = rows.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min("q").alias("q"))
-    groups, shards = F.floor(F.col("vec_id") / (every * GROUP)), F.floor(F.col("vec_id") / (BLOCK * SHARD))
+    shards = F.floor(F.col("vec_id") / (BLOCK * SHARD))
 
     def packed(key, table):
         ids = table.column("vec_id").to_numpy()
@@ -82,11 +82,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
 
     kind = "dim int, at long, block binary"
     block = rows.select("dim", shards.alias("at"), "vec_id", "q").groupBy("dim", "at").applyInArrow(packed, kind)
-    group = wanted.select("dim", groups.alias("at"), "vec_id", "q").groupBy("dim", "at").applyInArrow(packed, kind)
-    # both lists of places are a few numbers for thousands of rows each; every group meets every shard once
-    places = rows.groupBy("dim").agg(F.collect_set(shards).alias("shards"), F.collect_set(F.when(F.col("vec_id") % every == 0, groups)).alias("groups"))
-    left = block.join(F.broadcast(places), "dim").select("dim", F.col("at").alias("shard"), F.explode("groups").alias("grp"), "block")
-    right = group.join(F.broadcast(places), "dim").select("dim", F.explode("shards").alias("shard"), F.col("at").alias("grp"), "block")
+    # two numbers for each length of vectors: how many places the blocks and the groups of queries take; joined by what they weigh at run time
+    n = rows.groupBy("dim").agg(F.ceil(F.count("*") / (BLOCK * SHARD)).alias("n_shards"), F.ceil(F.count_if(F.col("vec_id") % every == 0) / GROUP).alias("n_groups")).where("n_groups > 0")
+    asked = wanted.join(n, "dim").select("dim", F.pmod(F.floor(F.col("vec_id") / every), F.col("n_groups")).alias("at"), "vec_id", "q")
+    group = asked.groupBy("dim", "at").applyInArrow(packed, kind)
+    # every group meets every shard once
+    left = block.join(n, "dim").select("dim", F.pmod("at", "n_shards").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_groups") - 1)).alias("grp"), "block")
+    right = group.join(n, "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_shards") - 1)).alias("shard"), F.col("at").alias("grp"), "block")
 
     def meet(key, a, b):
         dim = key[0].as_py()
