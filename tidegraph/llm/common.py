@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -111,6 +111,19 @@ def sliding(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
+def sampled(rows: DataFrame, most: int, *key: str | Column) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of `key`, with that hash as h.
+
+    A count sets a threshold that lets about a third more than that through, so what is sorted, and meets in one task, is
+    bounded by `most` and not by the number of partitions.
+    """
+    n = rows.count()
+    share = min(1.0, (1.3 * most + 100) / max(1, n))
+    hashed = rows.withColumn("h", F.xxhash64(*key))
+    few = hashed.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else hashed
+    return few.orderBy("h", *key).limit(most)
+
+
 def row_key() -> list:
     """A key that tells rows apart even where doc_id repeats or is null: equal only for equal (doc_id, text)."""
     return [F.xxhash64(F.col("doc_id"), F.col("text")).alias("rk")]

@@ -23,6 +23,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,19 @@ from . import common
 
 SAMPLE, SAMPLE_IDS, DICT_BYTES, LEVEL = 2000, 1024, 64 << 10, 3
 SHARD_BYTES = 1 << 20
-WORDS, PIECES = 400_000, 800_000  # entries kept by a worker
+WORDS, PIECES = 450_000, 600_000  # entries kept by a worker
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own pattern
 
 
+def _split(word: str) -> list[str] | None:
+    """Pieces of plain words, the most by far: letters, or letters and one mark. Others are left to the pattern."""
+    if word.isalpha():
+        return [word]
+    if word[:-1].isalpha() and word[-1] in ".,;:!?":
+        return [word[:-1], word[-1]]
+    return None
+
+
 class Encoder:
     """Ids of texts, the same as the library's for each whole text."""
 
@@ -61,11 +71,11 @@ class Encoder:
 
     def _pieces(self, new: list[str]) -> list[list[str]]:
         """The pieces of each word; what isn't known of them is encoded, many at a time."""
-        split = [_PIECE.findall(w if w.isascii() else self.library.normalizer.normalize_str(w)) for w in new]
-        missing = list({p for s in split for p in s if p not in self.piece})
+        split = [_split(w) or _PIECE.findall(w if w.isascii() else self.library.normalizer.normalize_str(w)) for w in new]
+        missing = list(set(chain.from_iterable(split)).difference(self.piece))
         if len(self.piece) + len(missing) > PIECES:
             self.piece.clear()
-            missing = list({p for s in split for p in s})
+            missing = list(set(chain.from_iterable(split)))
         for a in range(0, len(missing), 512):
             part = missing[a : a + 512]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
@@ -79,20 +89,26 @@ class Encoder:
                 self.piece[p] = raw[4 * begin : 4 * end]
         return split
 
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "surrogatepass") for w in new]
-        plain = [max(t) < "\u0250" for t in texts]
-        known = iter(self._pieces([t for t, own in zip(texts, plain, strict=True) if own]))
-        others = iter(self.library.encode_batch([t for t, own in zip(texts, plain, strict=True) if not own], add_special_tokens=False))
-        ids = [b"".join([self.piece[p] for p in next(known)]) if own else np.array(next(others).ids, np.uint32).tobytes() for own in plain]
-        start, n = len(self.word), len(new)
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        count = np.fromiter(map(len, ids), np.int64, n) // 4
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        plain = [t.isascii() or max(t) < "\u0250" for t in texts]
+        split = self._pieces([t for t, own in zip(texts, plain, strict=True) if own])
+        others = [t for t, own in zip(texts, plain, strict=True) if not own]
+        for t, x in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True):
+            self.piece["\0" + t] = np.array(x.ids, np.uint32).tobytes()  # whole, under a name that no piece has
+        new = sorted(range(len(texts)), key=plain.__getitem__, reverse=True)  # the split ones first
+        words = [words[i] for i in new]
+        split += [["\0" + t] for t in others]
+        raw = list(map(self.piece.__getitem__, chain.from_iterable(split)))
+        flat = np.frombuffer(b"".join(raw), np.uint32)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
+        count = np.diff(ends[np.cumsum([0, *map(len, split)])])
+        start, n = len(self.word), len(words)
         while start + n > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.word.update(zip(new, range(start, start + n), strict=True))
+        self.word.update(zip(words, range(start, start + n), strict=True))
         self.count[start : start + n] = count
         self.first[start : start + n] = self.used + np.cumsum(count) - count
         self.flat[self.used : self.used + len(flat)] = flat
@@ -102,18 +118,21 @@ class Encoder:
         raws = [x.encode("utf-8", "surrogatepass") for x in texts]
         odd = [i for i, x in enumerate(raws) if b"<|" in x]  # may hold a token's own name, which is told by its case
         words = [[] if b"<|" in x else x.lower().split() for x in raws]
-        new = {w for own in words for w in own if w not in self.word}
+        flat = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.word.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = {flat[i] for i in missing}
         if new and len(self.word) + len(new) > WORDS and self.word:
             self._start()
-            new = {w for own in words for w in own}
+            new, missing = set(flat), range(len(flat))
         if new:
-            self._learn(sorted(new))
-        out = []
-        for own in words:
-            at = np.fromiter(map(self.word.__getitem__, own), np.int64, len(own))
-            n = self.count[at]
-            base = np.cumsum(n) - n
-            out.append(self.flat[np.repeat(self.first[at] - base, n) + np.arange(n.sum())])
+            self._learn(list(new))
+            at[missing] = np.fromiter(map(self.word.__getitem__, [flat[i] for i in missing]), np.int64, len(missing))
+        n = self.count[at]
+        base = np.cumsum(n) - n
+        ids = self.flat[np.repeat(self.first[at] - base, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, words)])]
+        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         for i, x in zip(odd, self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False) if odd else [], strict=True):
             out[i] = np.array(x.ids, np.uint32)
         return out
@@ -137,9 +156,15 @@ def id_bytes(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from a bounded sample; empty where there is too little to learn from."""
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").orderBy("h", F.xxhash64("text")).limit(SAMPLE)
+    rows = common.sampled(docs.select("doc_id", "text"), SAMPLE, "doc_id")
 
     def run(parts):
         for part in parts:
@@ -168,12 +193,12 @@ def write(docs: DataFrame, where: str, path: str, end_id: int = 1) -> None:
     edges = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000) if n > 1 else F.lit(None)).first()[0] or []
     edges = np.unique(np.array(edges, np.int64))
     shared = spark.sparkContext.broadcast((trained, edges))
+    width = id_bytes(vocabulary_size(path))
 
     def encode(parts):
         content, cuts = shared.value
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content) if content else None, write_checksum=False)
         e = encoder(path)
-        width = id_bytes(e.size)
         for part in parts:
             ids = part.column("doc_id").to_pylist()
             got = [np.append(x, np.uint32(end_id)) for x in e.encode([t or "" for t in part.column("text").to_pylist()])]
@@ -182,7 +207,6 @@ def write(docs: DataFrame, where: str, path: str, end_id: int = 1) -> None:
 
     def shards(parts) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("dictionary", pa.string()), ("id_width", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("frame_end", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())])
-        width = id_bytes(encoder(path).size)
         now, start, held, size = None, 0, [], 0
 
         def out():
@@ -208,8 +232,8 @@ def write(docs: DataFrame, where: str, path: str, end_id: int = 1) -> None:
     ordered.mapInArrow(shards, _SHARD).write.option("compression", "none").option("parquet.block.size.row.check.min", "4").parquet(f"{where}/shards")
 
 
-def read(spark: SparkSession, where: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document of a data set, from its files."""
+def _each(spark: SparkSession, where: str, schema: str, column) -> DataFrame:
+    """(doc_id, start, n_tokens, column of the documents' ids) of a data set, from its files."""
     common.small_batches(spark)
     content = {r["name"]: bytes(r["content"]) for r in spark.read.parquet(f"{where}/dictionary").collect()}
     shards = spark.read.schema(_SHARD).parquet(f"{where}/shards")
@@ -226,23 +250,28 @@ def read(spark: SparkSession, where: str) -> DataFrame:
         for part in parts:
             for p, begin, name, width, doc, end, count, frames in zip(*(part.column(c).to_pylist() for c in part.schema.names), strict=True):
                 start = bases[p] + begin + np.cumsum(count) - count
-                ids = [np.frombuffer(readers[name].decompress(frames[a:b]), f"<u{width}").astype(np.int64) for a, b in zip([0, *end], end, strict=False)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start), pa.array([len(x) for x in ids], pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids"])
+                ids = [np.frombuffer(readers[name].decompress(frames[a:b]), f"<u{width}") for a, b in zip([0, *end], end, strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start), pa.array([len(x) for x in ids], pa.int64()), column(ids)], names=["doc_id", "start", "n_tokens", "x"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<long>")
+    return shards.mapInArrow(run, schema)
+
+
+def read(spark: SparkSession, where: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document of a data set, from its files."""
+
+    def lists(ids: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int64)))
+
+    return _each(spark, where, "doc_id long, start long, n_tokens long, x array<long>", lists).withColumnRenamed("x", "ids")
 
 
 def digests(spark: SparkSession, where: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
 
-    def run(parts):
-        for part in parts:
-            lists = part.column("ids")
-            flat, at = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    def sums(ids: list[np.ndarray]) -> pa.Array:
+        return pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())
 
-    return read(spark, where).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _each(spark, where, "doc_id long, start long, n_tokens long, x long", sums).withColumnRenamed("x", "ids_crc32")
 
 
 def document(spark: SparkSession, where: str, doc_id: int) -> list[int] | None:
