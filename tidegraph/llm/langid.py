@@ -6,8 +6,8 @@ normalised.  Each language's training vectors are clustered by cosine (k-means f
 text takes the language of the centroid with the largest cosine.  A text farther from every centroid than nearly all training texts of
 its length is rejected.
 
-Training uses at most ``sample`` labelled rows (a documented bound: those with the smallest hash of doc_id and
-text), whole texts; the model is a few MB, whatever the corpus holds.
+Training uses at most ``sample`` labelled rows (a documented bound: those with the smallest hash of
+doc_id), whole texts; the model is a few MB, whatever the corpus holds.
 
 Defined cases: null, empty and letterless texts are ``und``, score 0, rejected; rows stay one to one and equal texts
 get equal results; a null doc_id is carried and is never trained on; with no labelled row all is ``und``; further columns are ignored.
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
     """Learn from text and non-null lang of rows that aren't held out, at most `sample` of them."""
     common.small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    rows = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(sample)
+    rows = common.sampled(rows.select("doc_id", "text", "lang"), sample, "doc_id").select("text", "lang")
 
     def run(parts):  # what goes to the driver is sparse counts, not texts
         for part in parts:
