@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
     """Learn quality from rows that aren't held out, at most `sample` of them."""
     common.small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
-    known = known.select("doc_id", F.col("y").cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
+    known = common.sampled(known.select("doc_id", F.col("y").cast("int").alias("y")), sample, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `sample` rows of 24 bytes
     rows = rows.orderBy("h", "doc_id", F.xxhash64("text")).limit(sample)
 
