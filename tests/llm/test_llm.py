@@ -343,6 +343,25 @@ def test_near_passages(spark, docs, none):
     assert all(r["n_chars"] == len(r["text"]) for r in left.collect() if r["text"])
 
 
+def cut_words(here: list[str], there: list[str]) -> set[str]:
+    """Words of `here` in passages that near-duplicate one of `there`."""
+    own, other = (windows.shingles(" ".join(x).encode()) for x in (here, there))
+    return {w for a, b in windows.passages(own, other, 46, 0.8) for w in here[a : b + windows.SHINGLE]}
+
+
+def test_a_passage_is_aligned_with_each_of_its_places():
+    fresh = (f"w{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    passage, before, after = some(80), some(30), some(30)
+    stray = some(20) + passage[10:15] + some(60) + passage + some(20)
+    assert cut_words(before + passage + after, stray) == set(passage), "five of its words stand before it"
+    changed = [*passage[:40], "changed", *passage[41:]]
+    twice = some(20) + passage + some(40) + passage + some(20)
+    assert cut_words(before + changed + after, twice) == set(changed), "the earlier document holds it twice"
+    assert cut_words(before + changed + after, stray) == set(changed)
+    assert not cut_words(before + passage[:40] + some(40) + after, twice)
+
+
 def test_a_shared_passage_in_many_documents(spark):
     passage = prose(99, 55)
     rows = [(i, prose(1000 + i, 70) + " " + passage + " " + prose(2000 + i, 70)) for i in range(120)]
