@@ -362,6 +362,41 @@ def test_a_passage_is_aligned_with_each_of_its_places():
     assert not cut_words(before + passage[:40] + some(40) + after, twice)
 
 
+def test_passages_are_all_ranges_that_are_similar():
+    r = random.Random(5)
+    found = 0
+    for turn in range(60):
+        words = [r.randrange(12 if turn % 3 else 60) for _ in range(24)]
+        here = np.array(words if turn % 2 else [r.randrange(60) for _ in range(24)], np.uint64)
+        there = np.array([x if r.random() < 0.9 else r.randrange(60) for x in (words[12:] + words[:12] if turn % 4 == 1 else words)], np.uint64)
+        expect = set()
+        for a in range(24):
+            for b in range(a + 5, 24):
+                mine = set(here[a : b + 1].tolist())
+                if {int(here[a]), int(here[b])} <= set(there.tolist()) and any(len(mine & x) >= 0.8 * len(mine | x) for x in (set(there[c : d + 1].tolist()) for c in range(24) for d in range(c, 24))):
+                    expect |= set(range(a, b + 1))
+        got = {i for a, b in windows.passages(here, there, 6, 0.8) for i in range(a, b + 1)}
+        assert got == expect
+        found += len(got)
+    assert found
+
+
+def test_words_replaced_amid_a_passage(spark):
+    rows, copies = [], {}
+    for i in range(20):
+        w = iter([f"w{i}x{j}" for j in range(1000)])
+        some = lambda n: [next(w) for _ in range(n)]  # noqa: B023, E731
+        passage = some(100)
+        copy = passage[:47] + some(6) + passage[53:]
+        rows += [(2 * i, " ".join(some(50) + passage + some(50))), (2 * i + 1, " ".join(some(70) + copy + some(70)))]
+        copies[2 * i + 1] = set(copy)
+    for d, copy in copies.items():
+        assert cut_words(rows[d][1].split(), rows[d - 1][1].split()) == copy
+    got = {r["doc_id"]: set(bytes(r["kept"]).decode().split()) for r in windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[d]) >= 140 for d in copies)
+    assert sum(got[d].isdisjoint(copy) for d, copy in copies.items()) >= 15, "two of five functions tie most of them"
+
+
 def test_a_shared_passage_in_many_documents(spark):
     passage = prose(99, 55)
     rows = [(i, prose(1000 + i, 70) + " " + passage + " " + prose(2000 + i, 70)) for i in range(120)]
