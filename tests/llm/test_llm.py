@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small rows that hold nulls, empty and long texts, ties and repeats."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -163,6 +164,16 @@ def test_rules(docs, none):
     assert not rules.verdict(4000, 0.05, []) and not rules.verdict(9000, 0.4, [0.1, 0.5]) and rules.verdict(4000, 0.5, [0.5])
 
 
+def test_incompressible_texts_are_rejected(spark):
+    r = random.Random(4)
+    broken = lambda x: " ".join(x[i : i + 12] for i in range(0, len(x), 12))
+    junk = [broken(base64.b64encode(r.randbytes(n)).decode()) for n in (300, 700, 1500, 4000, 20000)]
+    junk += [broken("".join(chr(r.randrange(33, 127)) for _ in range(n))) for n in (400, 900, 2000, 6000, 40000)]
+    rows = [*enumerate(junk), *((100 + i, prose(i, n)) for i, n in enumerate((60, 200, 800, 3000)))]
+    got = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (False, i >= 100) for i, _ in rows)
+
+
 # 4
 
 
