@@ -408,6 +408,24 @@ def test_words_replaced_amid_a_passage(spark):
     assert sum(got[d].isdisjoint(copy) for d, copy in copies.items()) >= 15, "two of five functions tie most of them"
 
 
+def test_a_copy_of_a_late_variant(spark):
+    r = random.Random(8)
+    rows, copies = [], {}
+    for n in range(20):
+        w = iter([f"w{n}x{j}" for j in range(10**4)])
+        some = lambda k: [next(w) for _ in range(k)]  # noqa: B023, E731
+        passage = some(60)
+        for i in range(21):
+            variant = list(passage)
+            for k in r.sample(range(60), 2):
+                variant[k] = next(w)
+            rows.append((len(rows), " ".join(some(40) + variant + some(40))))
+        rows.append((len(rows), " ".join(some(40) + variant + some(40))))
+        copies[rows[-1][0]] = set(variant)
+    got = {x["doc_id"]: set(bytes(x["kept"]).decode().split()) for x in windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[d] & copy) < windows.SHINGLE and len(got[d] - copy) == 80 for d, copy in copies.items()), "less than a shingle may stay at an end"
+
+
 def test_a_shared_passage_in_many_documents(spark):
     passage = prose(99, 55)
     rows = [(i, prose(1000 + i, 70) + " " + passage + " " + prose(2000 + i, 70)) for i in range(120)]
