@@ -102,6 +102,65 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Slots:
+    """A hash table from 64-bit keys to small integers, probed many keys at a time; grows as it fills."""
+
+    def __init__(self, room: int):
+        self._sized(max(room, 8))
+
+    def _sized(self, room: int) -> None:
+        size = 1 << (2 * room - 1).bit_length()
+        self.key, self.at, self.mask, self.n = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.uint64(size - 1), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The integer of each key, -1 where there is none."""
+        out, todo, slot = np.full(len(keys), -1, np.int32), np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            there = self.at[slot]
+            same = self.key[slot] == keys[todo]
+            out[todo] = np.where(same, there, -1)
+            on = np.flatnonzero((there >= 0) & ~same)
+            todo, slot = todo[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Enter distinct keys that aren't there yet, with values that differ."""
+        if 3 * (self.n + len(keys)) > 2 * len(self.at):
+            old = self.at >= 0
+            keys, values = np.concatenate([self.key[old], keys]), np.concatenate([self.at[old], values])
+            self._sized(2 * len(keys))
+        self.n += len(keys)
+        todo, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.at[slot] < 0
+            self.at[slot[free]], self.key[slot[free]] = values[todo[free]], keys[todo[free]]
+            on = np.flatnonzero(self.at[slot] != values[todo])  # of several that meet in a free slot one stays
+            todo, slot = todo[on], (slot[on] + 1) & int(self.mask)
+
+
+def spans_of(raw: bytes | np.ndarray, edges: np.ndarray) -> pa.Array:
+    """raw[edges[i]:edges[i + 1]] as a binary array that shares raw's memory."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int32)), pa.py_buffer(raw)])
+
+
+def names_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each entry of a binary array."""
+    n = len(words)
+    edges = np.frombuffer(words.buffers()[1], np.int32, n + 1, words.offset * 4) if n else np.zeros(1, np.int32)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]] if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+    size = np.diff(edges).astype(np.int64)
+    one, two = size.astype(np.uint64), size.astype(np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        start = (edges[:-1] - edges[0]).astype(np.int64)
+        place = np.arange(len(raw)) - np.repeat(start, size)
+        value = mixed((place.astype(np.uint64) << np.uint64(8)) | raw, 17)
+        at = start[full]
+        one[full] += np.add.reduceat(value, at)
+        two[full] += np.add.reduceat(value * (value >> np.uint64(32) | np.uint64(1)), at)
+    return mixed(one, 3), mixed(two, 4)
+
+
 def sliding(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
     """op (minimum or maximum) over each window of `width` entries; by doubling."""
     have = 1

@@ -5,18 +5,20 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 1. Documents are dealt to buckets once, compressed.  Each string of ``length`` bytes is represented by the
    suffix that starts at the least hashed gram inside it: equal strings choose equal suffixes, and one suffix
    stands for the run of neighbouring strings that choose it, about 17 of them.
-2. A filter that has only false positives drops the suffixes whose first gram occurs once in the corpus: sorted
-   hashes go out as differences, and one bit for each comes back.
-3. Each bucket sorts what is left into runs, front-coded (length of the prefix shared with the one before, then
-   the rest), one run for each range of gram hashes.
+2. A filter that has only false positives drops the suffixes whose first gram occurs in one document alone: sorted
+   hashes, one for each gram of a chunk, go out as differences, and one bit for each comes back.
+3. Each chunk of a bucket sorts what is left into runs, front-coded (length of the prefix shared with the one before, then
+   the rest), one run for each range of gram hashes.  Equal suffixes of a run are one entry with its least and largest doc_id; where
+   they stand stays with the bucket.
 4. A range merges its runs with a loser tree whose nodes keep the prefix length they share with the last
    winner.  Unequal lengths decide a match without reading a byte; equal ones compare from there on.
    Neighbours in the merged order that share the gram form a group; the strings of a group find the least
-   doc_id that has each of them.
-5. Covered intervals go back to the buckets, which unite and cut them out.
+   doc_id that has each of them, and the entries of larger documents are told.
+5. The buckets turn that into intervals of each document, unite them and cut them out.
 
-Rows in a group are never paired: its cost is its suffixes times the strings of one suffix.  Equal suffixes of
-a run are one entry, so that a passage in a third of all rows stays small.
+Rows in a group are never paired: its cost is its entries times the strings of one suffix.  What meets in a range is one entry of a chunk
+for each distinct suffix, however many documents hold it, so a passage in a third of all rows stays small.  Buckets and ranges are as many as the
+shuffle's partitions, or more where the texts are more than ``BUCKET`` bytes for each.
 
 Defined cases: a null text is empty; texts shorter than ``length`` stay whole; a null doc_id counts as larger
 than any other, and rows with the same doc_id never cut each other; equal rows give equal results; an empty table
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 16  # bytes that choose and name a suffix
+BUCKET = 64 << 20  # bytes of text for each pair of buckets
 CHUNK = 16 << 20  # bytes of text that are held, sorted and sent at once
+BLOCK = 1 << 15  # bytes that are hashed at once, so that what is at hand stays in a core's cache
 _LAST = np.iinfo(np.int64).max
+_BYTE = common.mixed(np.arange(256, dtype=np.uint64), 1)
 
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each `size` bytes (a power of two) of raw; by doubling."""
-    h, by = common.mixed(raw.astype(np.uint64), 1), 1
+    h, by = _BYTE[raw], 1
     factor = 0x9FB21C651E98DF25
     while by < size:
         h = h[:-by] * np.uint64(factor) + h[by:]
@@ -64,23 +69,40 @@ class Chunk:
         self.length = length
         n, grams = len(self.raw), length - GRAM + 1
         found = [(np.zeros(0, np.int64),) * 3]
-        step = 1 << 23  # a place has 24 bits beside the hash
-        for at in range(0, max(0, n - length + 1), step):
-            part = self.raw[at : at + step + length - 1]
-            key = common.mixed(gram_hashes(part, GRAM), 2) & ~np.uint64(0xFFFFFF) | np.arange(len(part) - GRAM + 1, dtype=np.uint64)
-            place = (common.sliding(key, grams, np.minimum) & np.uint64(0xFFFFFF)).astype(np.int64) + at
-            start = np.arange(at, at + len(place))
-            end = self.base[np.searchsorted(self.base, start, side="right")]
-            start = start[start + length <= end]
-            place = place[start - at]
+        names = [np.zeros(0, np.uint64)]
+        doc = 0
+        for at in range(0, max(0, n - length + 1), BLOCK):
+            part = self.raw[at : at + BLOCK + length - 1]
+            h = gram_hashes(part, GRAM)
+            key = (h * np.uint64(0xD1342543DE82EF95)) & ~np.uint64(0xFFFFFF) | np.arange(len(h), dtype=np.uint64)  # a place has 24 bits beside the hash
+            place = (common.sliding(key, grams, np.minimum) & np.uint64(0xFFFFFF)).astype(np.int64)
+            # strings that reach beyond their document are none
+            inside = np.ones(len(place), bool)
+            while doc < len(self.base) - 1 and self.base[doc + 1] - length + 1 < at + len(place):
+                a, b = max(0, self.base[doc + 1] - length + 1 - at), self.base[doc + 1] - at
+                inside[a : max(0, b)] = False
+                if b > len(place):
+                    break
+                doc += 1
+            start = np.flatnonzero(inside)
             if len(start):
+                place = place[start]
                 cut = np.flatnonzero((place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))
-                found.append((place[np.append(cut, len(start) - 1)], start[np.concatenate([[0], cut + 1])], start[np.append(cut, len(start) - 1)]))
+                last = np.append(cut, len(start) - 1)
+                found.append((place[last] + at, start[np.concatenate([[0], cut + 1])] + at, start[last] + at))
+                names.append(common.mixed(h[place[last]], 3) >> np.uint64(16))
         gram, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-        name = common.mixed(gram_hashes(self.raw, GRAM)[gram], 3) >> np.uint64(16) if len(gram) else np.zeros(0, np.uint64)
+        name = np.concatenate(names)
         order = np.argsort(name, kind="stable")
         self.name, self.gram, self.first, self.last = name[order], gram[order], first[order], last[order]
 
+        self.doc = np.searchsorted(self.base, self.first, side="right") - 1
+        # a gram of a document is named once
+        self.new = np.append(True, (self.name[1:] != self.name[:-1]))[: len(self.name)]
+        self.two = np.zeros(int(self.new.sum()), bool)  # grams that more than one document of this chunk holds
+        again = np.flatnonzero(~self.new & np.append(False, self.doc[1:] != self.doc[:-1])[: len(self.name)])
+        self.two[np.cumsum(self.new)[again] - 1] = True
+
     def parts(self, n: int) -> list[tuple[int, int, int]]:
         return common.cut((self.name * np.uint64(n) >> np.uint64(48)).astype(np.int64), n)
 
@@ -114,16 +136,13 @@ def chunked(texts: list[bytes], most: int = CHUNK):
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two keys of equal length; their first `known` bytes are known to be equal."""
-    while (x := a[known : known + 8]) == b[known : known + 8]:
-        if len(x) < 8:
-            return len(a)
-        known += 8
-    y = b[known : known + 8]
-    for p, q in zip(x, y, strict=True):
-        if p != q:
-            return known
-        known += 1
-    return known
+    number = int.from_bytes
+    while known < len(a):
+        x, y = a[known : known + 16], b[known : known + 16]
+        if x != y:
+            return known + (8 * len(x) - (number(x) ^ number(y)).bit_length()) // 8
+        known += 16
+    return len(a)
 
 
 def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,59 +155,52 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
     k = 1
     while k < len(runs):
         k *= 2
-    keys = [r[0] for r in runs] + [[]] * (k - len(runs))
-    shared = [r[1] for r in runs] + [[]] * (k - len(runs))
-    size = [len(x) for x in keys]
-    at, head = [0] * k, [x[0] if x else b"" for x in keys]
+    following = [zip(*r, strict=True) for r in runs] + [iter(())] * (k - len(runs))
+    over = (b"", -1)  # what a run that has ended gives
+    head = [next(x, over) for x in following]
+    head, have_of = [x for x, _ in head], [x for _, x in head]
     loser, depth = [0] * k, [-1] * k
 
-    def match(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
-        """Winner and its length, loser and its length."""
-        if la > lb:
-            return a, la, b, lb
-        if lb > la:
-            return b, lb, a, la
-        if la < 0:
-            return a, la, b, lb
-        x, y = head[a], head[b]
-        both = common_prefix(x, y, la)
-        if both == len(x) or x[both] < y[both]:
-            return a, la, b, both
-        return b, lb, a, both
-
     def build(node: int) -> tuple[int, int]:
+        """Winner and its length; all the first entries share nothing that is known."""
         if node >= k:
-            return node - k, 0 if size[node - k] else -1
-        winner, lw, loser[node], depth[node] = match(*build(2 * node), *build(2 * node + 1))
-        return winner, lw
-
-    winner, have = build(1) if k > 1 else (0, 0 if size[0] else -1)
-    out_run, out_at, out_shared = [], [], []
+            return node - k, min(have_of[node - k], 0)
+        (a, la), (b, lb) = build(2 * node), build(2 * node + 1)
+        if la < lb:
+            a, la, b, lb = b, lb, a, la
+        elif la == lb == 0:
+            lb = common_prefix(head[a], head[b], 0)
+            if head[b][lb:] < head[a][lb:]:
+                a, b = b, a
+        loser[node], depth[node] = b, lb
+        return a, la
+
+    paths = [[(leaf + k) >> i for i in range(1, k.bit_length())] for leaf in range(k)]
+    winner, have = build(1) if k > 1 else (0, have_of[0])
+    out_run, out_shared = [], []
     while have >= 0:
-        place = at[winner]
         out_run.append(winner)
-        out_at.append(place)
         out_shared.append(have)
-        place += 1
-        at[winner] = place
-        if place < size[winner]:
-            head[winner], have = keys[winner][place], shared[winner][place]
-        else:
-            have = -1
-        node = (winner + k) >> 1
-        while node:
+        head[winner], have = next(following[winner], over)
+        for node in paths[winner]:
             other = depth[node]
+            if other < have:
+                continue
             if other > have:
-                loser[node], winner = winner, loser[node]
                 depth[node], have = have, other
-            elif other == have and have >= 0:
-                x, y = head[winner], head[loser[node]]
-                both = common_prefix(x, y, have)
+                loser[node], winner = winner, loser[node]
+            elif have >= 0:
+                rival = loser[node]
+                x, y = head[winner], head[rival]
+                depth[node] = both = common_prefix(x, y, have)
                 if both < len(x) and x[both] > y[both]:
-                    loser[node], winner = winner, loser[node]
-                depth[node] = both
-            node >>= 1
-    return np.array(out_run, np.int64), np.array(out_at, np.int64), np.array(out_shared, np.int64)
+                    loser[node], winner = winner, rival
+    run = np.array(out_run, np.int64)
+    order = np.argsort(run, kind="stable")
+    size = np.bincount(run, minlength=k) if len(run) else np.zeros(k, np.int64)
+    place = np.empty(len(run), np.int64)
+    place[order] = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+    return run, place, np.array(out_shared, np.int64)
 
 
 def front_code(rows: np.ndarray) -> np.ndarray:
@@ -198,20 +210,23 @@ def front_code(rows: np.ndarray) -> np.ndarray:
 
 
 def front_decode(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(shared), width), np.uint8)
-    keep = np.arange(width) >= shared[:, None]
-    out[keep] = rest
-    for c in range(width):  # a byte that a row shares is that of the last row that brought its own
-        own = np.where(keep[:, c], np.arange(len(shared)), 0)
-        out[:, c] = out[np.maximum.accumulate(own), c]
+    return np.frombuffer(b"".join(front_keys(shared, rest, width)), np.uint8).reshape(-1, width)
+
+
+def front_keys(shared: np.ndarray, rest: np.ndarray, width: int) -> list[bytes]:
+    raw, at, now, out = rest.tobytes(), 0, b"", []
+    for s in shared.tolist():
+        now = now[:s] + raw[at : at + width - s]
+        at += width - s
+        out.append(now)
     return out
 
 
-def covered(rows: np.ndarray, shared: np.ndarray, context: np.ndarray, doc: np.ndarray, first: np.ndarray, length: int):
-    """(occurrence, start, end) of the intervals that strings of smaller documents cover.
+def lowest(rows: np.ndarray, shared: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether an entry is alone, first of its numbers, numbers): the least document of all strings of an entry, or of each.
 
-    rows: distinct-in-run keys in merged order; shared: the prefix with the row before; context: the row of each
-    occurrence; doc, first: its document and the place of its first string.
+    rows: keys in merged order, equal ones side by side; shared: the prefix with the row before; doc: the least document of
+    each.  Entries whose gram has one context only are alone: all their strings have one number.
     """
     width = rows.shape[1]
     new = shared < width
@@ -220,18 +235,14 @@ def covered(rows: np.ndarray, shared: np.ndarray, context: np.ndarray, doc: np.n
     group = np.cumsum(np.concatenate([[True], shared[1:] < GRAM]) if len(shared) else [])[new] - 1
     key = rows[new]
     n_class = len(key)
-    cls = same[context]
     least = np.full(n_class, _LAST, np.int64)
-    np.minimum.at(least, cls, doc)
+    np.minimum.at(least, same, doc)
+    alone = np.bincount(group, minlength=n_class)[group] == 1
     marks = key == 255
     ahead = marks.argmax(axis=1)
     total = width - 1 - marks[:, ::-1].argmax(axis=1) - 1  # bytes without both marks
-    strings = total - length + 1
-    alone = np.bincount(group, minlength=n_class)[group] == 1
-    hit = alone[cls] & (doc > least[cls])
-    occ = np.flatnonzero(hit)
-    out = [(occ, first[occ], first[occ] + total[cls[occ]])]
     many = np.flatnonzero(~alone)
+    first, numbers = np.arange(n_class), least
     if len(many):
         # contents in reading order, end to end
         col = np.arange(width)
@@ -239,30 +250,18 @@ def covered(rows: np.ndarray, shared: np.ndarray, context: np.ndarray, doc: np.n
         source = np.where(col < behind[:, None], ahead[many][:, None] + behind[:, None] - col, col - behind[:, None])
         flat = np.take_along_axis(key[many], np.clip(source, 0, width - 1), axis=1)[col < total[many][:, None]]
         base = np.concatenate([[0], np.cumsum(total[many])[:-1]])
-        n = strings[many]
+        n = total[many] - length + 1
         offset = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat(base - offset[:-1], n) + np.arange(offset[-1])
         name = window_hashes(flat, length)[place]
         order = np.argsort(name, kind="stable")
         edge = np.concatenate([[True], name[order][1:] != name[order][:-1]])
-        owner = np.repeat(least[many], n)
         low = np.empty(len(name), np.int64)
-        low[order] = np.minimum.reduceat(owner[order], np.flatnonzero(edge))[np.cumsum(edge) - 1]
-        slot = np.full(n_class, -1, np.int64)
-        slot[many] = np.arange(len(many))
-        rest = np.flatnonzero(~alone[cls])
-        for s in range(0, len(rest), 1 << 16):
-            o = rest[s : s + (1 << 16)]
-            m = slot[cls[o]]
-            reps = n[m]
-            begin = np.concatenate([[0], np.cumsum(reps)[:-1]])
-            index = np.arange(reps.sum()) - np.repeat(begin, reps)
-            seen = low[np.repeat(offset[m], reps) + index] < np.repeat(doc[o], reps)
-            lo = np.minimum.reduceat(np.where(seen, index, 1 << 30), begin)
-            hi = np.maximum.reduceat(np.where(seen, index, -1), begin)
-            ok = hi >= 0
-            out.append((o[ok], first[o][ok] + lo[ok], first[o][ok] + hi[ok] + length))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+        low[order] = np.minimum.reduceat(np.repeat(least[many], n)[order], np.flatnonzero(edge))[np.cumsum(edge) - 1]
+        first = first.copy()
+        first[many] = n_class + offset[:-1]
+        numbers = np.concatenate([least, low])
+    return alone[same], first[same], numbers
 
 
 def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,15 +280,19 @@ def ordered(table: pa.Table) -> tuple[list[bytes], np.ndarray, list]:
     return [common.unsqueeze(x) for x in table.column("body").to_pylist()], np.array([_LAST if x is None else x for x in ids], np.int64), ids
 
 
-def bucketed(docs: DataFrame) -> DataFrame:
+def bucket_pairs(docs: DataFrame) -> int:
+    """Half the number of buckets: the shuffle's partitions, or more if texts are large."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(common.partitions(docs.sparkSession), -(-size // BUCKET))
+
+
+def bucketed(docs: DataFrame, n: int) -> DataFrame:
     """(bucket, rk, doc_id, body): documents compressed and dealt out once; equal plans share the exchange."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    n = common.partitions(spark)
+    common.small_batches(docs.sparkSession)
 
     def run(parts):
         for part in parts:
-            body = [common.squeeze((x or "").encode("utf-8", "surrogatepass")) for x in part.column("text").to_pylist()]
+            body = [common.squeeze(x or b"") for x in part.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bucket", "rk", "doc_id")), pa.array(body, pa.binary())], names=["bucket", "rk", "doc_id", "body"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("*", *common.row_key())
@@ -297,12 +300,16 @@ def bucketed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, rk long, doc_id long, body binary").repartition(n, "bucket")
 
 
+def _table(rows: list[tuple], **kinds) -> pa.Table:
+    return pa.table(list(zip(*rows, strict=True)) if rows else [[] for _ in kinds], schema=pa.schema(list(kinds.items())))
+
+
 def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the maximal removed runs as (start, end) bytes, and the bytes that stay."""
     if not 33 <= length <= 64:
         raise ValueError("length: 33 to 64 bytes")
-    n = common.partitions(docs.sparkSession)
-    held = bucketed(docs)
+    n = bucket_pairs(docs)
+    held = bucketed(docs, n)
     width = 2 * length - GRAM + 2
 
     def names(bucket, table):
@@ -310,20 +317,22 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         rows = []
         for c, (a, b) in enumerate(chunked(texts)):
             chunk = Chunk(texts[a:b], length)
+            number = np.cumsum(chunk.new) - 1
             for p, s, e in chunk.parts(n):
-                rows.append((bucket, c, p, common.pack(np.diff(chunk.name[s:e], prepend=np.uint64(0)))))
-        return pa.table(list(zip(*rows, strict=True)) if rows else [[]] * 4, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("block", pa.binary())]))
+                own = chunk.name[s:e][chunk.new[s:e]]
+                rows.append((bucket, c, p, common.pack(np.diff(own, prepend=np.uint64(0)), np.packbits(chunk.two[number[s] : number[e - 1] + 1]))))
+        return _table(rows, bucket=pa.int32(), chunk=pa.int32(), part=pa.int32(), block=pa.binary())
 
     def repeated(_, table):
-        blocks = [np.cumsum(common.unpack(x)[0]) for x in table.column("block").to_pylist()]
-        every = np.concatenate(blocks)
+        blocks = [common.unpack(x) for x in table.column("block").to_pylist()]
+        every = np.concatenate([np.cumsum(x[0]) for x in blocks])
+        twice = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for x in blocks]).astype(bool)
         order = np.argsort(every, kind="stable")
         there = every[order]
-        twice = np.zeros(len(every), bool)
         again = there[1:] == there[:-1]
         twice[order[1:][again]] = True
         twice[order[:-1][again]] = True
-        edges = np.cumsum([len(x) for x in blocks])[:-1]
+        edges = np.cumsum([len(x[0]) for x in blocks])[:-1]
         masks = [np.packbits(x).tobytes() for x in np.split(twice, edges)]
         return table.drop_columns("block").append_column("mask", pa.array(masks, pa.binary()))
 
@@ -334,8 +343,10 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         rows = []
         for c, (a, b) in enumerate(chunked(texts)):
             chunk = Chunk(texts[a:b], length)
+            number = np.cumsum(chunk.new) - 1
             for p, s, e in chunk.parts(n):
-                at = s + np.flatnonzero(np.unpackbits(np.frombuffer(bits[c, p], np.uint8), count=e - s))
+                again = np.unpackbits(np.frombuffer(bits[c, p], np.uint8)).astype(bool)
+                at = s + np.flatnonzero(again[number[s:e] - number[s]])
                 if not len(at):
                     continue
                 key = chunk.keys(at)
@@ -345,48 +356,79 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 new = shared < width
                 new[0] = True
                 key, shared = key[new], shared[new]
-                doc = np.searchsorted(chunk.base, chunk.first[at], side="right") - 1
-                count = np.diff(np.append(np.flatnonzero(new), len(at)))
+                doc, edge = chunk.doc[at], np.flatnonzero(new)
+                value = order_value[a:b][doc]
                 rest = key[np.arange(width) >= shared[:, None]]
-                rows.append((p, bucket, c, common.pack(shared, rest, count.astype(np.uint32), doc.astype(np.uint32), order_value[a:b][doc], (chunk.first[at] - chunk.base[doc]).astype(np.uint32))))
-        return pa.table(list(zip(*rows, strict=True)) if rows else [[]] * 4, schema=pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("run", pa.binary())]))
+                run = common.pack(shared, rest, np.minimum.reduceat(value, edge), np.maximum.reduceat(value, edge))
+                where = common.pack(np.diff(np.append(edge, len(at))).astype(np.uint32), (chunk.last[at] - chunk.first[at] + 1)[edge].astype(np.uint8), doc.astype(np.uint32), (chunk.first[at] - chunk.base[doc]).astype(np.uint32))
+                rows.append((p, bucket, c, run, where))
+        return _table(rows, part=pa.int32(), bucket=pa.int32(), chunk=pa.int32(), run=pa.binary(), places=pa.binary())
 
     def merged(_, table):
         decoded = [common.unpack(x) for x in table.column("run").to_pylist()]
-        rows = [front_decode(x[0], x[1], width) for x in decoded]
-        lists = []
-        for x, matrix in zip(decoded, rows, strict=True):
-            flat = matrix.tobytes()
-            lists.append(([flat[i : i + width] for i in range(0, len(flat), width)], x[0].tolist()))
-        run, place, shared = merge_runs(lists)
-        del lists
-        ahead = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
-        key = np.concatenate(rows)[ahead[run] + place]
-        position = np.empty(len(key), np.int64)
-        position[ahead[run] + place] = np.arange(len(key))
-        context = position[np.repeat(np.arange(len(key)), np.concatenate([x[2] for x in decoded]))]
-        doc, value, first = (np.concatenate([x[i] for x in decoded]) for i in (3, 4, 5))
-        source = np.repeat(np.arange(len(decoded)), [len(x[3]) for x in decoded])
-        occ, start, end = covered(key, shared, context, value, first.astype(np.int64), length)
-        order = np.argsort(source[occ], kind="stable")
-        occ, start, end = occ[order], start[order], end[order]
+        keys = [front_keys(x[0], x[1], width) for x in decoded]
+        run, place, shared = merge_runs([(k, x[0].tolist()) for k, x in zip(keys, decoded, strict=True)])
+        ahead = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+        at = ahead[run] + place
+        rows = np.frombuffer(b"".join(map(b"".join, keys)), np.uint8).reshape(-1, width)[at]
+        del keys
+        least, most = (np.concatenate([x[i] for x in decoded])[at] for i in (2, 3))
+        alone, first, numbers = lowest(rows, shared, least, length)
+        size = np.where(alone, 1, width - 1 - (rows == 255)[:, ::-1].argmax(axis=1) - 1 - length + 1)
+        # an entry all of whose documents come first for all its strings has nothing to be told
+        later = np.minimum.reduceat(numbers[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())], np.cumsum(size) - size) < most
+        order = np.flatnonzero(later)[np.argsort(run[later], kind="stable")]
         bucket, chunk = table.column("bucket").to_pylist(), table.column("chunk").to_pylist()
-        out = [(bucket[r], chunk[r], common.pack(doc[occ[s:e]], start[s:e].astype(np.uint32), (end - start)[s:e].astype(np.uint8))) for r, s, e in common.cut(source[occ], len(decoded))]
-        return pa.table(list(zip(*out, strict=True)) if out else [[]] * 3, schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("block", pa.binary())]))
+        part = table.column("part").to_pylist()
+        out = []
+        for r, s, e in common.cut(run[order], len(decoded)):
+            own = order[s:e]
+            m = size[own]
+            low = numbers[np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+            out.append((bucket[r], chunk[r], part[r], common.pack(place[own].astype(np.uint32), alone[own].astype(np.uint8), low)))
+        return _table(out, bucket=pa.int32(), chunk=pa.int32(), part=pa.int32(), block=pa.binary())
+
+    def intervals(told: bytes, places: bytes, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, start, end) in a chunk, of what a range told it."""
+        entry, alone, low = common.unpack(told)
+        count, n_strings, doc, first = common.unpack(places)
+        count, entry = count.astype(np.int64), entry.astype(np.int64)
+        begin = np.cumsum(count) - count
+        m = np.where(alone == 1, 1, n_strings[entry]).astype(np.int64)
+        offset = np.cumsum(m) - m
+        occ = np.repeat(begin[entry] - np.cumsum(count[entry]) + count[entry], count[entry]) + np.arange(count[entry].sum())
+        of = np.repeat(np.arange(len(entry)), count[entry])
+        own, start, whole = value[doc[occ]], first[occ].astype(np.int64), n_strings[entry][of].astype(np.int64)
+        out = []
+        for s in range(0, len(occ), 1 << 15):
+            o = slice(s, s + (1 << 15))
+            reps = m[of[o]]
+            edge = np.cumsum(reps) - reps
+            index = np.arange(reps.sum()) - np.repeat(edge, reps)
+            seen = low[np.repeat(offset[of[o]], reps) + index] < np.repeat(own[o], reps)
+            lo = np.minimum.reduceat(np.where(seen, index, 1 << 30), edge)
+            hi = np.maximum.reduceat(np.where(seen, index, -1), edge)
+            hi = np.where((hi >= 0) & (alone[of[o]] == 1), whole[o] - 1, hi)
+            ok = hi >= 0
+            out.append((doc[occ[o]][ok].astype(np.int64), start[o][ok] + lo[ok], start[o][ok] + hi[ok] + length))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def removed(_, table, blocks):
-        texts, _, ids = ordered(table)
+        texts, order_value, ids = ordered(table)
+        told: dict[tuple, bytes] = {}
+        where: dict[tuple, bytes] = {}
+        for c, p, x, y in zip(*(blocks.column(k).to_pylist() for k in ("chunk", "part", "block", "places")), strict=True):
+            (told if x is not None else where)[c, p] = x if x is not None else y
         gone: dict[int, list] = {}
-        for c, block in zip(blocks.column("chunk").to_pylist(), blocks.column("block").to_pylist(), strict=True):
-            gone.setdefault(c, []).append(common.unpack(block))
+        for c, p in sorted(told):
+            gone.setdefault(c, []).append((told[c, p], where[c, p]))
         spans, kept = [], []
         for c, (a, b) in enumerate(chunked(texts)):
             lengths = np.array([len(x) for x in texts[a:b]], np.int64)
             base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])  # one apart, so that runs of two documents never touch
-            found = gone.get(c)
-            doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            start = base[doc] + start
-            start, end = united(start, start + size)
+            found = [intervals(x, y, order_value[a:b]) for x, y in gone.get(c, [])]
+            doc, start, end = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *found, strict=True))
+            start, end = united(base[doc] + start, base[doc] + end)
             owner = np.searchsorted(base, start, side="right") - 1
             edge = np.searchsorted(owner, np.arange(b - a + 1))
             start, end = (start - base[owner]).tolist(), (end - base[owner]).tolist()
@@ -399,7 +441,9 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     sent = common.grouped(held, "bucket", names, "bucket int, chunk int, part int, block binary")
     masks = common.grouped(sent, "part", repeated, "bucket int, chunk int, part int, mask binary")
-    sorted_runs = held.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(lambda k, a, b: runs(k, a, b), "part int, bucket int, chunk int, run binary")
-    gone = common.grouped(sorted_runs, "part", merged, "bucket int, chunk int, block binary")
+    sorted_runs = held.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(lambda k, a, b: runs(k, a, b), "part int, bucket int, chunk int, run binary, places binary")
+    sorted_runs = common.written(sorted_runs, "suffix-runs")  # read twice: the runs go to their ranges, the places back to their buckets
+    gone = common.grouped(sorted_runs.select("part", "bucket", "chunk", "run"), "part", merged, "bucket int, chunk int, part int, block binary")
+    back = gone.withColumn("places", F.lit(None).cast("binary")).unionByName(sorted_runs.select("bucket", "chunk", "part", F.lit(None).cast("binary").alias("block"), "places"))
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    return held.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(lambda k, a, b: removed(k, a, b), out)
+    return held.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda k, a, b: removed(k, a, b), out)
