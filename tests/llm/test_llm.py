@@ -204,6 +204,26 @@ def test_small_chunks_give_the_same(docs, spark):
     assert sorted((r["doc_id"], bytes(r["kept"])) for r in got.collect()) == brute_substrings(rows, 50)
 
 
+def test_chunks_and_blocks_are_crossed(spark, monkeypatch):
+    """Texts longer than a chunk, a block of hashes that ends inside documents, more buckets than partitions."""
+    rows = [(i, prose(i % 5, 300) + prose(100 + i, 40) + prose(i % 3, 90)) for i in range(30)] + [(30, prose(77, 9000)), (31, prose(78, 20) + prose(77, 9000)[5000:40000])]
+    got = suffix.Chunk([t.encode() for _, t in rows], 50)
+    assert len(got.raw) > 3 * suffix.BLOCK
+    brute = brute_substrings(rows, 50)
+    for chunk, block, bucket in ((10_000, 1 << 15, 64 << 20), (16 << 20, 700, 64 << 20), (5_000, 4096, 10_000)):
+        monkeypatch.setattr(suffix, "CHUNK", chunk)
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        monkeypatch.setattr(suffix, "BUCKET", bucket)
+        texts_ = [t.encode() for _, t in rows]
+        out = []
+        for a, b in suffix.chunked(texts_, chunk):
+            c = suffix.Chunk(texts_[a:b], 50)
+            out.append(int((c.last - c.first + 1).sum()) == sum(max(0, len(t) - 49) for t in texts_[a:b]))
+        assert all(out)
+    out = suffix.exact_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in out.collect()) == brute
+
+
 def test_loser_tree_orders_and_knows_prefixes():
     r = random.Random(4)
     runs = []
@@ -234,6 +254,27 @@ def test_pieces_round_trip_and_repeat(docs, none):
     assert kept.schema["n_pieces"].dataType.simpleString() == "bigint" and "score" in kept.columns
 
 
+def test_pieces_of_unbroken_stretches():
+    v = pieces.Vocabulary(PIECES)
+    own = [prose(1, 200), prose(2, 400).replace(" ", ""), "  a   b \n\n" + "漢字" * 30, "▁", ""]
+    whole = pieces.encode(v, own, [1, 2, 3, 4, 5])
+    kept = pieces.LONGEST, pieces.EDGES
+    try:
+        pieces.LONGEST = 6  # nearly all go by blocks
+        v.forget()
+        assert [x.tolist() for x in pieces.encode(v, own, [1, 2, 3, 4, 5])] == [x.tolist() for x in whole]
+        code = np.frombuffer(own[1].encode("utf-32-le"), np.uint32)
+        key = np.array([9], np.uint64)
+        assert all((a == b).all() for a, b in zip(pieces.sample_long(v, code, key, 3, 32), pieces.sample_long(v, code, key, 3), strict=True))
+        pieces.LONGEST, pieces.EDGES = kept[0], 500  # the lattices kept are given up again and again
+        v.forget()
+        assert [x.tolist() for x in pieces.encode(v, own, [1, 2, 3, 4, 5])] == [x.tolist() for x in whole]
+        v.cuts = False  # as for a vocabulary with blanks inside pieces
+        assert [pieces.decode(v, x) for x in pieces.encode(v, own, [1, 2, 3, 4, 5])] == own
+    finally:
+        pieces.LONGEST, pieces.EDGES = kept
+
+
 def test_pieces_are_drawn_from_the_lattice():
     v = pieces.Vocabulary(PIECES)
     by_bytes = {}
@@ -305,13 +346,24 @@ def test_tokens_files(spark, docs, none):
 
 def test_token_cache_is_bounded_and_exact():
     e = tokens.Encoder(WORDS)
-    kept = tokens.WORDS, tokens.PIECES
-    tokens.WORDS, tokens.PIECES = 50, 40
+    kept = tokens.WORDS
+    tokens.WORDS = 50
     try:
         own = [prose(i, 40) + "!?.. 's É İ x" for i in range(20)]
         assert [x.tolist() for i in range(0, 20, 3) for x in e.encode(own[i : i + 3])] == [e.library.encode(t, add_special_tokens=False).ids for t in own]
     finally:
-        tokens.WORDS, tokens.PIECES = kept
+        tokens.WORDS = kept
+
+
+def test_token_ids_of_any_characters():
+    e = tokens.Encoder(WORDS)
+    r = random.Random(5)
+    odd = [*map(chr, range(0x250)), *"İıſKǺ\u0331\u0308\u0307\u030c\u0345ΑΣςσΩ\u00a0\u2028\u3000\u200b\ufeffẞßǅﬁ日本語कि각가\U0001f600", "<|endoftext|>", "<|EndOfText|>", "<|", "'s", "'S", "J\u030c", "H\u0331", "İ!", " ", "\n", "The"]
+    own = ["".join(r.choice(odd) if i % 2 else chr(r.randrange(0xD800)) for _ in range(r.choice((1, 3, 9, 20)))) for i in range(6000)]
+    assert [x.tolist() for a in range(0, 6000, 500) for x in e.encode(own[a : a + 500])] == [x.ids for x in e.library.encode_batch(own, add_special_tokens=False)]
+    assert e.by_words and e.encode(["İ!"])[0].tolist() == e.library.encode("İ!", add_special_tokens=False).ids
+    other = tokens.Encoder(queries.tokenizer_file("byte_bpe_50k.json"))  # not of the kind whose words stand alone
+    assert not other.by_words and other.encode(["a b", None])[1].tolist() == []
 
 
 # 8

@@ -6,11 +6,14 @@ Frame i is bytes ends[i - 1]:ends[i] of ``frames``, so one short document is rea
 holds the shards, ``dictionary/`` the dictionary.  Both are Parquet written by Spark's committer, as executors have no other way
 into any store that Spark can write to; a task that is run again leaves no second copy.
 
-The dictionary is trained on serialized id arrays of at most ``SAMPLE`` documents (those with the smallest hash), whose first ``SAMPLE_IDS``
-ids are used: a bound on training alone, every document is written whole.
+The dictionary is trained on serialized id arrays of segments of ``SEGMENT`` characters.  Segments of all documents, whole as they are, are drawn by
+a hash of (doc_id, place), about ``SAMPLE`` bytes of text in all: a bound on training alone, which bears on the files' size and on nothing else.
+Where that is too little to train on, the segments themselves are the dictionary.
 
-Encoding goes through the tokenizers library.  Words between ASCII blanks are encoded once and kept (bounded), since this
-vocabulary drops white space and never joins what it parts; the letters A-Z are lower-cased first as the library would.
+Encoding goes through the tokenizers library.  It is given each distinct word between ASCII blanks once, whole, the added token that no word holds
+set between them, and a worker keeps the ids (``WORDS`` words at most; then it starts anew).  That is exact where the tokenizer drops white space and
+normalises no character by one beyond a blank; a file whose normaliser or pattern isn't the one known to be so has each whole text encoded instead.
+Only words of ASCII alone are lower-cased beforehand, so that they are met again.
 
 Defined cases: a null text is empty; each document ends with the end id, so none is empty; rows stay one to one, equal doc_ids lie
 side by side ordered by a hash of their texts; a null doc_id comes first; an empty table gives an empty data set; further columns are ignored.
@@ -19,34 +22,34 @@ side by side ordered by a hash of their texts; a null doc_id comes first; an emp
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_IDS, DICT_BYTES, LEVEL = 2000, 1024, 64 << 10, 3
+SAMPLE, SEGMENT, DICT_BYTES, LEVEL = 8 << 20, 4096, 64 << 10, 3
 SHARD_BYTES = 1 << 20
-WORDS, PIECES = 450_000, 600_000  # entries kept by a worker
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the tokenizer's own pattern
-
-
-def _split(word: str) -> list[str] | None:
-    """Pieces of plain words, the most by far: letters, or letters and one mark. Others are left to the pattern."""
-    if word.isalpha():
-        return [word]
-    if word[:-1].isalpha() and word[-1] in ".,;:!?":
-        return [word[:-1], word[-1]]
-    return None
+WORDS = 1 << 20  # words that a worker keeps
+#: The normaliser and pre-tokenizer under which words between ASCII blanks have ids of their own.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class Encoder:
@@ -58,86 +61,101 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.ends = np.zeros(self.size + 1, bool)  # ids that end a piece
-        for token, i in self.library.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.piece: dict[str, bytes] = {}  # ids, 4 bytes each
-        self._start()
-
-    def _start(self) -> None:
-        self.word: dict[bytes, int] = {}
-        self.first, self.count = (np.zeros(1 << 16, np.int64) for _ in range(2))
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _pieces(self, new: list[str]) -> list[list[str]]:
-        """The pieces of each word; what isn't known of them is encoded, many at a time."""
-        split = [_split(w) or _PIECE.findall(w if w.isascii() else self.library.normalizer.normalize_str(w)) for w in new]
-        missing = list(set(chain.from_iterable(split)).difference(self.piece))
-        if len(self.piece) + len(missing) > PIECES:
-            self.piece.clear()
-            missing = list(set(chain.from_iterable(split)))
-        for a in range(0, len(missing), 512):
-            part = missing[a : a + 512]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cut) != len(part):  # a piece that ends otherwise: one by one
-                for p in part:
-                    self.piece[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
-                continue
-            raw = ids.astype(np.uint32).tobytes()
-            for p, begin, end in zip(part, [0, *cut], cut, strict=False):
-                self.piece[p] = raw[4 * begin : 4 * end]
-        return split
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        plain = [t.isascii() or max(t) < "\u0250" for t in texts]
-        split = self._pieces([t for t, own in zip(texts, plain, strict=True) if own])
-        others = [t for t, own in zip(texts, plain, strict=True) if not own]
-        for t, x in zip(others, self.library.encode_batch(others, add_special_tokens=False), strict=True):
-            self.piece["\0" + t] = np.array(x.ids, np.uint32).tobytes()  # whole, under a name that no piece has
-        new = sorted(range(len(texts)), key=plain.__getitem__, reverse=True)  # the split ones first
-        words = [words[i] for i in new]
-        split += [["\0" + t] for t in others]
-        raw = list(map(self.piece.__getitem__, chain.from_iterable(split)))
-        flat = np.frombuffer(b"".join(raw), np.uint32)
-        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)])
-        count = np.diff(ends[np.cumsum([0, *map(len, split)])])
-        start, n = len(self.word), len(words)
-        while start + n > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        file = json.loads(self.library.to_str())
+        added = file["added_tokens"]
+        plain = [t for t in added if not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\v\f\r"))]
+        alike = file["normalizer"] == _NORMALIZER and file["pre_tokenizer"] == _PRE_TOKENIZER and file["truncation"] is None and file["padding"] is None
+        self.by_words = bool(added) and len(plain) == len(added) and alike
+        self.added = sorted({t["content"][:2] for t in added})
+        self.between, self.between_id = (plain[0]["content"], plain[0]["id"]) if plain else ("", -1)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words met so far."""
+        self.known, self.n, self.used = common.Slots(WORDS), 0, 0
+        self.check, self.first, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.flat = np.zeros(1 << 18, np.uint32)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each) of words that hold no added token."""
+        joined = [self.between.join(words[a : a + 256]) for a in range(0, len(words), 256)]
+        flat = np.fromiter(chain.from_iterable([*e.ids, self.between_id] for e in self.library.encode_batch_fast(joined, add_special_tokens=False)), np.int64)
+        cut = flat == self.between_id
+        ends = np.flatnonzero(cut)
+        return flat[~cut].astype(np.uint32), np.diff(ends, prepend=-1) - 1
+
+    def lookup(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; those not met before are encoded."""
+        words = lowered(words)
+        name, check = common.names_of(words)
+        found = self.known.find(name)
+        if (odd := (found >= 0) & (self.check[found] != check)).any():  # equal names of different words
+            self.forget()
+            found[:] = -1
+        at = np.flatnonzero(found < 0)
+        if not len(at):
+            return found
+        if self.n and self.n + len(at) > WORDS:
+            self.forget()
+            found[:] = -1
+            at = np.arange(len(found))
+        _, one, back = np.unique(name[at], return_index=True, return_inverse=True)  # words that differ in case may now be equal
+        if odd.any() or (check[at][one][back] != check[at]).any():
+            raise ValueError("two words of one batch share a 64-bit name")
+        new = at[one]
+        flat, count = self.ids_of([x.decode("utf-8", "replace") for x in words.take(pa.array(new)).to_pylist()])
+        n = len(new)
+        while self.n + n > len(self.first):
+            self.first, self.count, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.check))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.word.update(zip(words, range(start, start + n), strict=True))
-        self.count[start : start + n] = count
-        self.first[start : start + n] = self.used + np.cumsum(count) - count
+        own = slice(self.n, self.n + n)
+        self.check[own], self.count[own], self.first[own] = check[new], count, self.used + np.cumsum(count) - count
         self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        raws = [x.encode("utf-8", "surrogatepass") for x in texts]
-        odd = [i for i, x in enumerate(raws) if b"<|" in x]  # may hold a token's own name, which is told by its case
-        words = [[] if b"<|" in x else x.lower().split() for x in raws]
-        flat = list(chain.from_iterable(words))
-        at = np.fromiter(map(self.word.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0).tolist()
-        new = {flat[i] for i in missing}
-        if new and len(self.word) + len(new) > WORDS and self.word:
-            self._start()
-            new, missing = set(flat), range(len(flat))
-        if new:
-            self._learn(list(new))
-            at[missing] = np.fromiter(map(self.word.__getitem__, [flat[i] for i in missing]), np.int64, len(missing))
-        n = self.count[at]
-        base = np.cumsum(n) - n
-        ids = self.flat[np.repeat(self.first[at] - base, n) + np.arange(n.sum())]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, words)])]
-        out = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        for i, x in zip(odd, self.library.encode_batch([texts[i] for i in odd], add_special_tokens=False) if odd else [], strict=True):
+        numbers = np.arange(self.n, self.n + n, dtype=np.int32)
+        if self.n + n <= WORDS:  # a batch of more words than that is kept for itself alone
+            self.known.add(name[new], numbers)
+        self.n, self.used = self.n + n, self.used + len(flat)
+        found[at] = numbers[back]
+        return found
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """Ids of each text; null: none."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        if not self.by_words:
+            return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        odd = np.zeros(len(texts), bool)  # may hold an added token
+        for sign in self.added:
+            odd |= pc.match_substring(texts, sign, ignore_case=True).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        words = split.flatten().dictionary_encode()
+        number = self.lookup(words.dictionary.cast(pa.binary()))
+        at = number[words.indices.to_numpy()]
+        n = self.count[at].astype(np.int64)
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[at] - end + n, n) + np.arange(n.sum())]
+        edges = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        if self.n > WORDS:
+            self.forget()
+        whole = np.flatnonzero(odd).tolist()
+        for i, x in zip(whole, self.library.encode_batch_fast([texts[i].as_py() for i in whole], add_special_tokens=False) if whole else [], strict=True):
             out[i] = np.array(x.ids, np.uint32)
         return out
 
 
+def lowered(words: pa.Array) -> pa.Array:
+    """A binary array whose ASCII entries have a-z for A-Z. Others stay: a mark may join a capital only, or a small letter only."""
+    n = len(words)
+    edges = np.frombuffer(words.buffers()[1], np.int32, n + 1, words.offset * 4) if n else np.zeros(1, np.int32)
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[: edges[-1]].copy() if edges[-1] else np.zeros(0, np.uint8)
+    wide = np.concatenate([[0], np.cumsum(raw >= 0x80)])
+    plain = np.repeat(wide[edges[1:]] == wide[edges[:-1]], np.diff(edges))
+    own = raw[edges[0] :]
+    own[plain & (own >= 65) & (own <= 90)] |= 32
+    return common.spans_of(raw, edges)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -163,21 +181,28 @@ def vocabulary_size(path: str) -> int:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample; empty where there is too little to learn from."""
-    rows = common.sampled(docs.select("doc_id", "text"), SAMPLE, "doc_id")
+    """A dictionary from a bounded sample; empty only where there are no documents."""
+    size = docs.agg(F.sum(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1))).alias("n")).first()["n"]
+    share = min(1.0, SAMPLE / max(1, size or 1))
+    last = F.greatest(F.floor((F.coalesce(F.length("text"), F.lit(0)) - 1) / SEGMENT), F.lit(0)).cast("int")
+    drawn = F.filter(F.sequence(F.lit(0), last), lambda i: F.xxhash64("doc_id", i) <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))
+    rows = docs.select("doc_id", "text", F.explode(drawn).alias("i")).select("doc_id", "i", F.substring("text", F.col("i") * SEGMENT + 1, F.lit(SEGMENT)).alias("text"))
 
     def run(parts):
         for part in parts:
             e = encoder(path)
-            yield pa.RecordBatch.from_arrays([pa.array([serialized(np.append(x, end_id)[:SAMPLE_IDS], id_bytes(e.size)) for x in e.encode([t or "" for t in part.column("text").to_pylist()])], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("i"), pa.array([serialized(np.append(x, end_id), id_bytes(e.size)) for x in e.encode(part.column("text"))], pa.binary())], names=["doc_id", "i", "x"])
 
-    got = rows.select("text").mapInArrow(run, "x binary").toArrow().column("x").to_pylist()
-    if sum(map(len, got)) < 16 * DICT_BYTES or len(got) < 64:
-        return b""
-    return zstandard.train_dictionary(DICT_BYTES, got, level=LEVEL).as_bytes()
+    table = rows.mapInArrow(run, "doc_id long, i int, x binary").toArrow()
+    got = sorted(zip(*(table.column(c).to_pylist() for c in ("x", "i")), strict=True))  # one order, however they came
+    got = [x for x, _ in got]
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, got)) // 32)), got, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few
+        return b"".join(got)[-DICT_BYTES:]
 
 
-_SHARD = "part int, start_in_part long, dictionary string, id_width int, doc_id array<long>, frame_end array<long>, n_tokens array<long>, frames binary"
+_SHARD = "part int, start_in_part long, first_id long, last_id long, dictionary string, id_width int, doc_id array<long>, frame_end array<long>, n_tokens array<long>, frames binary"
 
 
 def write(docs: DataFrame, where: str, path: str, end_id: int = 1) -> None:
@@ -201,17 +226,18 @@ def write(docs: DataFrame, where: str, path: str, end_id: int = 1) -> None:
         e = encoder(path)
         for part in parts:
             ids = part.column("doc_id").to_pylist()
-            got = [np.append(x, np.uint32(end_id)) for x in e.encode([t or "" for t in part.column("text").to_pylist()])]
+            got = [np.append(x, np.uint32(end_id)) for x in e.encode(part.column("text"))]
             place = [0 if i is None else int(np.searchsorted(cuts, i, side="right")) for i in ids]
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), part.column("doc_id"), part.column("tie"), pa.array([len(x) for x in got], pa.int64()), pa.array([pack.compress(serialized(x, width)) for x in got], pa.binary())], names=["part", "doc_id", "tie", "n", "frame"])
 
     def shards(parts) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("dictionary", pa.string()), ("id_width", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("frame_end", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())])
+        kind = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dictionary", pa.string()), ("id_width", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("frame_end", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("frames", pa.binary())])
         now, start, held, size = None, 0, [], 0
 
         def out():
             ends = np.cumsum([len(x[2]) for x in held]).tolist()
-            row = (now, start, name, width, [x[0] for x in held], ends, [x[1] for x in held], b"".join(x[2] for x in held))
+            known = [x[0] for x in held if x[0] is not None]
+            row = (now, start, known[0] if known else None, known[-1] if known else None, name, width, [x[0] for x in held], ends, [x[1] for x in held], b"".join(x[2] for x in held))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kind.types, strict=True)], schema=kind)
 
         for part in parts:
@@ -248,7 +274,7 @@ def _each(spark: SparkSession, where: str, schema: str, column) -> DataFrame:
         dictionaries, bases = shared.value
         readers = {k: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(v) if v else None) for k, v in dictionaries.items()}
         for part in parts:
-            for p, begin, name, width, doc, end, count, frames in zip(*(part.column(c).to_pylist() for c in part.schema.names), strict=True):
+            for p, begin, _, _, name, width, doc, end, count, frames in zip(*(part.column(c).to_pylist() for c in part.schema.names), strict=True):
                 start = bases[p] + begin + np.cumsum(count) - count
                 ids = [np.frombuffer(readers[name].decompress(frames[a:b]), f"<u{width}") for a, b in zip([0, *end], end, strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start), pa.array([len(x) for x in ids], pa.int64()), column(ids)], names=["doc_id", "start", "n_tokens", "x"])
@@ -275,15 +301,17 @@ def digests(spark: SparkSession, where: str) -> DataFrame:
 
 
 def document(spark: SparkSession, where: str, doc_id: int) -> list[int] | None:
-    """The ids of one document: its shard alone is read, and of that one frame is decompressed."""
-    shard = spark.read.schema(_SHARD).parquet(f"{where}/shards").where(F.array_contains("doc_id", doc_id)).limit(1).collect()
-    if not shard:
+    """The ids of one document, the first of its doc_id: the shards' ranges tell the files, and of its shard one frame is decompressed."""
+    shards = spark.read.schema(_SHARD).parquet(f"{where}/shards").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_id", doc_id))
+    found = shards.select("part", "start_in_part", "dictionary", "id_width", "doc_id", "frame_end").orderBy("part", "start_in_part").limit(1).collect()
+    if not found:
         return None
-    row = shard[0]
+    row = found[0]
     i = row["doc_id"].index(doc_id)
-    frame = bytes(row["frames"])[row["frame_end"][i - 1] if i else 0 : row["frame_end"][i]]
+    a, b = (row["frame_end"][i - 1] if i else 0), row["frame_end"][i]
+    frame = shards.where((F.col("part") == row["part"]) & (F.col("start_in_part") == row["start_in_part"])).select(F.substring("frames", a + 1, b - a).alias("x")).first()["x"]
     content = bytes(spark.read.parquet(f"{where}/dictionary").where(F.col("name") == row["dictionary"]).first()["content"])
-    return np.frombuffer(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content) if content else None).decompress(frame), f"<u{row['id_width']}").tolist()
+    return np.frombuffer(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content) if content else None).decompress(bytes(frame)), f"<u{row['id_width']}").tolist()
 
 
 def dataset(docs: DataFrame, path: str, end_id: int = 1) -> str:
