@@ -23,6 +23,23 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoints(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a folder of this machine is used if driver and tasks share it (master local); elsewhere tasks would write where
+    nobody reads, so that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints/tidegraph"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def local_session(app: str = "tidegraph", cpus: int | str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return ship(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import store
+from ..session import checkpoints
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -35,8 +36,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 def folder(spark: SparkSession) -> str:
     """A new folder beside the session's checkpoints."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/tidegraph"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{checkpoints(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
