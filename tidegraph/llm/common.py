@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoints, ship
 
 #: Rows and bytes of one Arrow batch that a Python worker gets: bounds its memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
@@ -36,29 +36,41 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        base = "/tmp/checkpoints/tidegraph"
-        context.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; a local one where none is set and driver and tasks share a machine."""
+    return checkpoints(spark)
+
+
+_WRITTEN: dict[str, list[str]] = {}  # folders by application
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df once as a table of the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleanup(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete the tables that operators of this session have written, once what was made from them is consumed; `keep` stays."""
+    ours = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    kept = keep.inputFiles() if keep is not None else []
+    for path in list(ours):
+        if not any(path.rsplit("/", 1)[1] in f for f in kept):
+            _drop(spark, path)
+            ours.remove(path)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table made by written() that no later stage reads."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _drop(df.sparkSession, folder)
 
 
 def pack(*columns: np.ndarray) -> bytes:

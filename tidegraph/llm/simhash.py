@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -108,10 +108,13 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that span all pairs within radius bits.
 
     The counts by population (65 rows at most) set how many tiles each population has; that map is all the
-    driver sees.  A tile of 131,072 fingerprints is a block of 1 MB, sent once to each partner.
+    driver sees.  A tile of 131,072 fingerprints is a block of 1 MB, sent once to each partner; tiles are smaller where that
+    makes fewer than two a partition, so that no task gets much more than others.
     """
     spark = fps.sparkSession
-    by_count = {r["p"]: -(-r["n"] // tile) for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
+    count = {r["p"]: r["n"] for r in fps.groupBy(F.bit_count("fp").alias("p")).agg(F.count("*").alias("n")).collect()}
+    tile = min(tile, max(4096, sum(count.values()) // (2 * common.partitions(spark))))
+    by_count = {p: -(-n // tile) for p, n in count.items()}
     if not by_count:
         return spark.createDataFrame([], "a long, b long")
     tiles = F.create_map(*[F.lit(x) for p, k in sorted(by_count.items()) for x in (p, k)])
@@ -147,9 +150,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: in
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; equal rows count as one.
+    """docs with one document of each component, that of the smallest doc_id; rows of equal doc_id and text count as one.
 
-    Rows with a null doc_id stay only where a component has no doc_id at all.
+    Of such rows the one whose other columns, written as JSON, have the smallest hash stays.  Rows with a null doc_id stay only where a
+    component has no doc_id at all.
     """
-    chosen = near_duplicates(docs, shingle, radius, tile).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__chosen")).distinct()
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen")), "left_semi").dropDuplicates(["doc_id", "text"])
+    def keyed(df: DataFrame) -> DataFrame:  # plain columns: what the join has dealt out serves the window as well
+        return df.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__none": F.col("doc_id").isNull()})
+
+    found = near_duplicates(docs, shingle, radius, tile)
+    chosen = keyed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("__key", "__none").distinct()
+    kept = keyed(docs).join(chosen, ["__key", "__none"], "left_semi")
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("__key", "__none", "text").orderBy(F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0))))
+    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
