@@ -54,7 +54,7 @@ def test_walks(spark, small_graph):
     assert {r["uid"]: r["score"] for r in nodes.collect()} == {1: 1.0, 2: 0.5, 3: 0.25}
     assert {r["chunk_id"]: r["score"] for r in walk.fact_walk(seeds.drop("ent_id"), mentions, edges).collect()} == {"c1": 2.25, "c2": 1.125}
     vertices = mentions.select(F.col("uid").alias("vid"), F.col("chunk_id").alias("source_chunk"))
-    assert {r["chunk_id"]: r["score"] for r in walk.two_hop(seeds, vertices, edges, near).collect()} == {"c1": 2.3, "c2": 1.1}
+    assert {r["chunk_id"]: r["score"] for r in walk.two_hop(seeds, vertices, edges, near)[0].collect()} == {"c1": 2.3, "c2": 1.1}
 
 
 def test_beam_keeps_the_likest(spark):
@@ -115,8 +115,66 @@ def test_description_band(spark):
 def test_medians_and_norms(spark):
     rows = spark.createDataFrame([(1, w) for w in (0.1, 0.2, 0.3, 0.4)], "q_id long, w double")
     assert ranking.upper_median(rows, "q_id", "w").first()["median"] == 0.3
-    same = spark.createDataFrame([(1, 2.0), (1, -1.0)], "q_id long, s double")
-    assert sorted((r["n"] is None, r["n"]) for r in ranking.minmax(same, "s", "n").collect()) == [(False, 0.5), (True, None)]
+    norm = lambda *x: sorted(r["n"] for r in ranking.minmax(spark.createDataFrame([(1, v) for v in x], "q_id long, s double"), "s", "n").collect())
+    assert norm(2.0, -1.0) == [0.5, 0.5] and norm(1.0, 3.0, -1.0) == [-1.0, 0.0, 1.0] and norm(-2.0, 0.0) == [-2.0, 0.0]
+
+
+def test_forms_of_any_script(spark):
+    em = lambda a, b: one(spark, metrics.exact_match(F.col("a"), F.col("b")), "a string, b string", a, b)
+    assert em("東京", "大阪") == 0 and em("東京。", "東京") == 1 and em(None, "the") == 1 and em("The Café!", "café") == 1
+    assert one(spark, text.containment_form(F.col("x")), "x string", ' "It\'s" New-York, `now`?! ') == "its new york now"
+    assert one(spark, metrics.contains_all(F.col("x"), F.array(F.array(F.lit("new york")))), "x string", "it is New-York.") == [1]
+    assert one(spark, text.heuristic_entities(F.col("x")), "x string", "Ask José and Élise about Zoë") == ["Ask José and Élise about Zoë", "Ask", "José", "Élise", "Zoë"]
+    assert one(spark, text.heuristic_entities(F.col("x")), "x string", ' "" . ') == ["."] and one(spark, text.heuristic_entities(F.col("x")), "x string", '" " "') == [""]
+
+
+@pytest.mark.parametrize("path,expect", [
+    ("a -r-> b", [("a", "r", "b")]), ("a <-r- b", [("b", "r", "a")]), ("a <-r- b -s-> c", [("b", "r", "a"), ("b", "s", "c")]), ("a <-r- b <-s- c", [("b", "r", "a"), ("c", "s", "b")]),
+    ("a -r-> b -s-> c", [("a", "r", "b"), ("b", "s", "c")]), ("a -r-> b <-s- c", [("a", "r", "b"), ("c", "s", "b")]), ("a", None),
+])
+def test_paths_to_triples(spark, path, expect):
+    got = one(spark, text.path_triples(F.col("x")), "x string", path)
+    assert (None if got is None else [tuple(t) for t in got]) == expect
+
+
+def test_edit_ratio_is_the_library_s(spark):
+    from difflib import SequenceMatcher
+
+    pairs = [("ada lovelace", "ada lovelase"), ("abc", "abc"), ("", "a"), (None, "a"), ("kitten", "sitting"), ("日本", "日本語"), ("abab", "baba")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.edit_ratio(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        assert r["r"] == (SequenceMatcher(None, r["a"], r["b"]).ratio() if r["a"] and r["b"] else 0.0)
+
+
+def test_alignment_caches_names_within_a_batch(spark):
+    rows = [(1, "Tower Inc", "place", "tall", [0.7, 0.7]), (2, "tower", "Place", "something else", [1.0, 0.1]), (3, "Bridge", "place", "long", [0.7, 0.7])]
+    batch = spark.createDataFrame(rows, "ent_id long, name string, type string, desc string, vec array<double>")
+    got = {r["ent_id"]: r for r in alignment.align(batch, index_rows(spark)).collect()}
+    assert got[1]["aligned_uid"] == got[2]["aligned_uid"] != got[3]["aligned_uid"] and got[2]["decision"] == "cached"
+    more = alignment.extended(index_rows(spark), spark.createDataFrame(list(map(tuple, got.values())), alignment.align(batch, index_rows(spark)).schema))
+    assert more.count() == 4
+
+
+def test_top_k_within_shards_and_groups(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"c{i}", [r.gauss(0, 1) for _ in range(5)], i % 3) for i in range(400)]
+    q = spark.createDataFrame([(i, rows[i][1], i % 3) for i in range(0, 400, 40)], "q_id long, qvec array<double>, label long")
+    c = spark.createDataFrame(rows, "chunk_id string, vec array<double>, label long")
+    kept = vector_search.LEAST_ROWS, vector_search.QUERY_BLOCK
+    vector_search.LEAST_ROWS, vector_search.QUERY_BLOCK = 100, 4
+    try:
+        got = vector_search.top_k(q, c, 5, own=F.concat(F.lit("c"), F.col("q_id").cast("string")), within="label").collect()
+    finally:
+        vector_search.LEAST_ROWS, vector_search.QUERY_BLOCK = kept
+
+    def cos(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5), 6)
+
+    for i in range(0, 400, 40):
+        best = sorted(((-cos(rows[i][1], v), k) for k, v, g in rows if g == i % 3 and k != f"c{i}"))[:5]
+        assert [(x["chunk_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"]) if x["q_id"] == i] == [(k, -s) for s, k in best]
 
 
 def test_retrieval_metrics(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .text import answer_form
+from .text import answer_form, containment_form
 
 
 def exact_match(predicted: Column, truth: Column) -> Column:
@@ -42,8 +42,8 @@ def rouge_l(predicted: Column, truth: Column, alpha: float = 0.0) -> Column:
 
 
 def contains_all(predicted: Column, truths: Column) -> Column:
-    """1 for each inner list of alternatives of which one is in the prediction, else 0."""
-    return F.transform(truths, lambda alts: F.exists(alts, lambda a: F.contains(F.lower(predicted), F.lower(a))).cast("int"))
+    """1 for each inner list of alternatives of which one is in the prediction, else 0; both sides in containment_form."""
+    return F.transform(truths, lambda alts: F.exists(alts, lambda a: F.contains(containment_form(predicted), containment_form(a))).cast("int"))
 
 
 def accurate(flags: Column) -> Column:

@@ -14,9 +14,15 @@ COMPANY_FORMS = "inc|corp|co|ltd|llc|group|foundation|incorporated|corporation|l
 HONORIFICS = ("dr", "mr", "mrs", "ms", "prof", "sir", "madam")
 UNKNOWN_PHRASES = ("i don't know", "cannot answer", "not enough information")
 STOP_PHRASES = ("unknown", "i don't know", "not found")
+MARKS_AT_ENDS = r"^[.,:;!?()\[\]{}\"]+|[.,:;!?()\[\]{}\"]+$"
 TRUE_WORDS, FALSE_WORDS = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -85,18 +91,18 @@ def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def answer_form(c: Column) -> Column:
-    """For exact match: lower case, articles dropped, punctuation to blanks. Words end where letters, digits and _ end, in any script."""
-    x = F.lower(c)
+    """For exact match: lower case, articles dropped, all but letters, digits and _ of any script to blanks; a null is empty."""
+    x = F.lower(F.coalesce(c, F.lit("")))
     for _ in range(2):  # neighbouring articles share the blank between them
         x = F.regexp_replace(x, r"(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])", "$1 $2")
-    return collapsed(F.regexp_replace(x, r"[^a-z0-9\s]", " "))
+    return collapsed(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", " "))
 
 
 def containment_form(c: Column) -> Column:
-    """For containment: quotes off the ends, hyphens and clause marks to blanks, closing marks dropped."""
-    x = F.regexp_replace(F.lower(F.trim(c)), "^[\"']+|[\"']+$", "")
+    """For containment: quotes of any place dropped, hyphens and clause marks to blanks, closing marks dropped."""
+    x = F.regexp_replace(stripped(F.lower(c)), "[\"'`]", "")
     x = F.regexp_replace(F.regexp_replace(x, "-", " "), "[.,，。;；:：]", " ")
-    return collapsed(F.regexp_replace(x, "[!?！？]+$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(x, r"[!?！？]+\z", ""), r"\s+", " "))
 
 
 def is_unknown(c: Column) -> Column:
@@ -149,17 +155,44 @@ def fact_text(src: Column, rel: Column, tgt: Column) -> Column:
     return F.concat_ws(" ", src, rel, tgt)
 
 
-def heuristic_entities(query: Column, most: int = 5) -> Column:
-    """Segments between double quotes, then capitalised words without their punctuation; distinct, at most `most`."""
-    quoted = F.filter(F.transform(F.split(query, '"'), lambda t: F.trim(t)), lambda t: t != "")
-    words = F.transform(F.filter(F.split(F.trim(query), r"\s+"), lambda t: t.rlike("^[A-Z]")), lambda t: F.regexp_replace(t, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
-    return F.slice(F.array_distinct(F.filter(F.concat(quoted, words), lambda t: t != "")), 1, most)
+def bare_words(query: Column) -> Column:
+    """Words between blanks without the marks at their ends; one of marks alone becomes empty."""
+    return F.transform(F.filter(F.split(query, r"\s+"), lambda t: t != ""), lambda t: F.regexp_replace(t, MARKS_AT_ENDS, ""))
+
+
+def is_upper(word: Column) -> Column:
+    """A capital at the head, or capitals as the only letters with a case."""
+    return word.rlike(r"^\p{Lu}") | word.rlike(r"^[^\p{Ll}\p{Lt}]*\p{Lu}[^\p{Ll}\p{Lt}]*$")
+
+
+def heuristic_entities(query: Column, most: int = 6) -> Column:
+    """Segments between double quotes (a query without any is one), then capitalised words; distinct, at most `most`. Where there are none, the first words."""
+    segments = F.filter(F.transform(F.split(query, '"'), stripped), lambda t: t != "")
+    words = bare_words(query)
+    found = F.array_distinct(F.concat(segments, F.filter(words, lambda t: (t != "") & is_upper(t))))
+    return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(F.array_distinct(F.slice(words, 1, most)))
 
 
 def render_context(chunk: Column, text: Column) -> Column:
     return F.concat(F.lit("["), chunk, F.lit("] "), text)
 
 
+def path_triples(c: Column) -> Column:
+    """Triples (head, relation, tail) of a path text of one or two steps, "a -r-> b <-s- c", each in its edge's direction; null for anything else."""
+    n, r = r"(.+)", r"(.+?)(?<! )"  # a relation doesn't end with a blank
+    right, left = f" -{r}-> ", f" <-{r}- "
+
+    def triple(pattern: str, head: int, rel: int, tail: int) -> Column:
+        return F.struct(*[F.regexp_extract(c, pattern, g).alias(k) for k, g in (("head", head), ("relation", rel), ("tail", tail))])
+
+    out = F.lit(None).cast("array<struct<head:string,relation:string,tail:string>>")
+    shapes = [((left, right), ((3, 2, 1), (3, 4, 5))), ((left, left), ((3, 2, 1), (5, 4, 3))), ((right, right), ((1, 2, 3), (3, 4, 5))), ((right, left), ((1, 2, 3), (5, 4, 3))), ((right,), ((1, 2, 3),)), ((left,), ((3, 2, 1),))]
+    for arrows, triples in reversed(shapes):  # the first shape that fits counts
+        pattern = "^" + n + "".join(a + n for a in arrows) + "$"
+        out = F.when(c.rlike(pattern), F.array(*[triple(pattern, *t) for t in triples])).otherwise(out)
+    return out
+
+
 def plain_path(c: Column) -> Column:
     """Path text without the markup of names and relations: ({name: x})-[r:{relationship: y}] to (x)-[y]."""
     x = F.regexp_replace(c, r"\{name: ([^}]*)\}", "$1")

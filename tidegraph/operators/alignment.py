@@ -5,11 +5,11 @@ A batch aligns against the index as it was before the batch; equal (name, type,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .vector_search import in_blocks, ranked
+from .vector_search import ranked, top_k
 
 
 def exact_cache(entities: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def exact_cache(entities: DataFrame) -> DataFrame:
 def name_cache(entities: DataFrame, floor: float | None = 0.3) -> DataFrame:
     """(ent_id, primary_id): the first entity of the same normalised name and type, if the descriptions are at least `floor` alike (None: always)."""
     keyed = entities.withColumn("key", F.concat_ws("|", text.normalize_name(F.col("name")), text.normalize_type(F.col("type"))))
-    w = Window.partitionBy("key").orderBy("ent_id")
-    first = keyed.withColumn("primary_id", F.first("ent_id").over(w)).withColumn("primary_desc", F.first("desc").over(w))
+    heads = keyed.groupBy("key").agg(F.min("ent_id").alias("primary_id"), F.min_by("desc", "ent_id").alias("primary_desc"))
+    first = keyed.join(heads, "key")
     if floor is not None:
         alike = text.desc_similarity(F.col("desc"), F.col("primary_desc"), F.lit(None).cast("double")) >= floor
         first = first.withColumn("primary_id", F.when((F.col("ent_id") == F.col("primary_id")) | alike, F.col("primary_id")).otherwise(F.col("ent_id")))
@@ -30,12 +30,10 @@ def name_cache(entities: DataFrame, floor: float | None = 0.3) -> DataFrame:
 
 def candidates(entities: DataFrame, index: DataFrame, k: int = 50) -> DataFrame:
     """entities(ent_id, name, type, desc, vec) beside their k nearest of index(uid, name, type, desc, vec)."""
-    from ..functions import vector
-
-    q = entities.select(F.col("ent_id").alias("q_id"), "name", "type", "desc", F.col("vec").alias("qvec"))
-    there = index.select("uid", F.col("name").alias("i_name"), F.col("type").alias("i_type"), F.col("desc").alias("i_desc"), "vec")
-    near = in_blocks(q, there).withColumn("cos", F.round(vector.cosine(F.col("qvec"), F.col("vec")), 6)).drop("qvec", "vec")
-    return ranked(near, "q_id", [F.desc("cos"), F.col("uid")], k).withColumnRenamed("q_id", "ent_id")
+    near = top_k(entities.select(F.col("ent_id").alias("q_id"), F.col("vec").alias("qvec")), index.select("uid", "vec"), k, key="uid")
+    near = near.select(F.col("q_id").alias("ent_id"), "uid", F.col("score").alias("cos"), "rank")
+    there = index.select("uid", F.col("name").alias("i_name"), F.col("type").alias("i_type"), F.col("desc").alias("i_desc"))
+    return near.join(entities.select("ent_id", "name", "type", "desc"), "ent_id").join(there, "uid")
 
 
 def flagged(cand: DataFrame, ratio: float | None = 0.85) -> DataFrame:
@@ -81,11 +79,26 @@ def cascade(cand: DataFrame, reuse_cos: float = 0.92, same_desc: float = 0.6, ta
 
 
 def align(entities: DataFrame, index: DataFrame, k: int = 50, **limits) -> DataFrame:
-    """A whole batch: distinct triples, candidates, cascade; entities without any candidate are new."""
-    distinct = exact_cache(entities).dropDuplicates(["name", "type", "desc"])
-    got = cascade(candidates(distinct, index, k), **limits)
-    chosen = distinct.select("ent_id", F.col("uid").alias("fresh")).join(got, "ent_id", "left").select(F.col("fresh"), F.coalesce("decision", F.lit("new")).alias("decision"), F.coalesce("uid", "fresh").alias("aligned_uid"), "match_uid", "link")
-    return exact_cache(entities).withColumnRenamed("uid", "fresh").join(chosen, "fresh").drop("fresh")
+    """A whole batch: entities(ent_id, name, type, desc, vec) with decision, aligned_uid, match_uid and link.
+
+    Equal (name, type, desc) are one; of those with the same normalised name and type the first by ent_id stands for all, whatever
+    their descriptions; it alone meets the index.  Entities without any candidate are new.
+    """
+    first = name_cache(entities, floor=None).select("ent_id", "primary_id")
+    alone = entities.join(first.select(F.col("primary_id").alias("ent_id")).distinct(), "ent_id", "left_semi")
+    got = cascade(candidates(alone, index, k), **limits)
+    fresh = exact_cache(alone).select("ent_id", F.col("uid").alias("fresh"))
+    chosen = fresh.join(got, "ent_id", "left").select(F.col("ent_id").alias("primary_id"), "fresh", F.coalesce("decision", F.lit("new")).alias("decision"), F.coalesce("uid", "fresh").alias("aligned_uid"), "match_uid", "link")
+    out = entities.join(first, "ent_id").join(chosen, "primary_id")
+    cached = (F.col("ent_id") != F.col("primary_id")) & (text.stable_id(F.col("name"), F.col("type"), F.col("desc")) != F.col("fresh"))
+    out = out.withColumn("link", F.when(~cached, F.col("link"))).withColumn("decision", F.when(cached, "cached").otherwise(F.col("decision")))
+    return out.drop("primary_id", "fresh")
+
+
+def extended(index: DataFrame, aligned: DataFrame) -> DataFrame:
+    """The index with the new entities of an aligned batch: what the next batch meets."""
+    new = aligned.where(F.col("decision").startswith("new")).select(F.col("aligned_uid").alias("uid"), "name", "type", "desc", "vec").dropDuplicates(["uid"])
+    return index.select("uid", "name", "type", "desc", "vec").unionByName(new.join(index.select("uid"), "uid", "left_anti"))
 
 
 def link_edges(aligned: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .vector_search import ranked
+
 EDGE = ["src", "dst", "relation", "source_chunk"]
 
 
@@ -59,20 +62,45 @@ def coverage(hits: DataFrame) -> DataFrame:
     return hits.groupBy("q_id", "chunk_id").agg(F.array_sort(F.collect_set("ent_id")).alias("entities"), F.count_distinct("ent_id").alias("n_entities"))
 
 
-def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """(uid, path, hops): edge-distinct walks of 1..depth edges in either direction, as text."""
+def paths(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | None = None) -> DataFrame:
+    """(uid, path, hops): edge-distinct walks of 1..depth edges in either direction, as text "a -r-> b <-s- c".
+
+    limit: so many of each uid, shorter ones first, then by text (a graph store takes any); of each length no more
+    than that are carried on to the result.
+    """
     e = edges.select("src", "dst", "relation").distinct()
     e = e.withColumn("eid", F.concat_ws("|", "src", "relation", "dst"))
-    step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -["), "relation", F.lit("]-> "), F.col("dst").cast("string")).alias("t"), "eid").unionAll(
-        e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-["), "relation", F.lit("]- "), F.col("src").cast("string")).alias("t"), "eid")
+    step = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.lit(" -"), "relation", F.lit("-> "), F.col("dst").cast("string")).alias("t"), "eid").unionAll(
+        e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.concat(F.lit(" <-"), "relation", F.lit("- "), F.col("src").cast("string")).alias("t"), "eid")
     )
     now = seeds.select("uid", F.col("uid").alias("at"), F.col("uid").cast("string").alias("path"), F.array().cast("array<string>").alias("used"))
     out = None
     for hop in range(1, depth + 1):
         now = now.join(step, now["at"] == step["a"]).where(~F.array_contains("used", F.col("eid"))).select("uid", F.col("b").alias("at"), F.concat("path", "t").alias("path"), F.concat("used", F.array("eid")).alias("used"))
         found = now.select("uid", "path", F.lit(hop).cast("bigint").alias("hops"))
+        if limit:
+            found = ranked(found, "uid", [F.col("path")], limit).drop("rank")
         out = found if out is None else out.unionAll(found)
-    return out
+    return ranked(out, "uid", [F.col("hops"), F.col("path")], limit).drop("rank") if limit else out
+
+
+def path_map(found: DataFrame) -> DataFrame:
+    """(uid, paths): the paths of each subject; meant for paths() with a limit."""
+    return found.groupBy("uid").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def sequences(mapped: DataFrame) -> DataFrame:
+    return mapped.select(F.explode("paths").alias("path")).distinct()
+
+
+def triples_of(found: DataFrame) -> DataFrame:
+    """(path, head, relation, tail): the triples that path texts spell."""
+    return found.select("path", F.explode(text.path_triples(F.col("path"))).alias("t")).select("path", "t.*")
+
+
+def entities_by_path(found: DataFrame) -> DataFrame:
+    """(path, entities): the ends of a path's triples."""
+    return found.select("path").distinct().select("path", F.array_sort(F.array_distinct(F.flatten(F.transform(text.path_triples(F.col("path")), lambda t: F.array(t["head"], t["tail"]))))).alias("entities"))
 
 
 def delete_triplet(edges: DataFrame, vertices: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-MOST = 10
-
-
-def capitalised(c: Column, most: int = MOST) -> Column:
-    """Distinct capitalised words of three letters or more, without marks at their ends, in order; at most `most`."""
-    words = F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda t: t.rlike("^[A-Z]")), lambda t: F.regexp_replace(t, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
-    return F.slice(F.array_distinct(F.filter(words, lambda t: F.length(t) >= 3)), 1, most)
+def capitalised(c: Column) -> Column:
+    """Distinct capitalised words of three characters or more, without marks at their ends, in order."""
+    return F.array_distinct(F.filter(text.bare_words(c), lambda t: (F.length(t) >= 3) & t.rlike(r"^\p{Lu}")))
 
 
 def rule_extractor(chunks: DataFrame) -> DataFrame:

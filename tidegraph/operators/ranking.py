@@ -30,11 +30,11 @@ def fact_weights(facts: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
 
 
 def minmax(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Positive values of a question scaled to 0..1; 0.5 where they are all the same, null where not positive."""
+    """Values of a question scaled by the least and largest positive one, so others fall below 0; 0.5 where those are the same, as they are without any."""
     w = Window.partitionBy("q_id")
     pos = F.when(F.col(value) > 0, F.col(value))
-    low, high = F.min(pos).over(w), F.max(pos).over(w)
-    return df.withColumn(out, F.when(pos.isNull(), F.lit(None).cast("double")).when(high == low, F.lit(0.5)).otherwise((pos - low) / (high - low)))
+    low, high = F.coalesce(F.min(pos).over(w), F.lit(0.0)), F.coalesce(F.max(pos).over(w), F.lit(1.0))
+    return df.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5)))
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:

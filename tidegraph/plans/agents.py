@@ -8,9 +8,8 @@ from ..operators import answer, ingest
 from ..sources import chunking
 from .registry import query, table
 
-_NAMES = r"list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 10)"
-_CAPS = r"list_filter(list_transform(list_filter(regexp_split_to_array(trim({c}), '\s+'), lambda t: regexp_matches(t, '^[A-Z]')), lambda t: regexp_replace(t, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda t: length(t) >= 3)"
-
+_NAMES = r"list_filter(l, lambda x, i: list_position(l, x) = i)"
+_CAPS = r"""list_filter(list_transform(list_filter(regexp_split_to_array({c}, '\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '^[.,:;!?()\[\]{{}}"]+|[.,:;!?()\[\]{{}}"]+$', '', 'g')), lambda t: length(t) >= 3 AND regexp_matches(t, '^\p{{Lu}}'))"""
 
 @query("rule_extraction", f"SELECT item_id, array_to_string({_NAMES}, '|') AS names, CAST(greatest(len({_NAMES}) - 1, 0) AS BIGINT) AS relations FROM (SELECT item_id, {_CAPS.format(c='text')} AS l FROM benchmark)")
 def rule_extraction(spark, d):

@@ -27,9 +27,10 @@ def node_merge(spark, d):
     return graph.merge_nodes(m).drop("source_chunks")
 
 
-@query("edge_merge", """SELECT DISTINCT o_custkey * 10 + 1 AS src, l_partkey * 10 + 2 AS dst, 'ORDERED' AS relation, CAST(o_orderkey AS VARCHAR) AS source_chunk FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+@query("edge_merge", X.with_(_SETS, "SELECT DISTINCT src, dst, relation, source_chunk FROM kg_edges"))
 def edge_merge(spark, d):
-    return graph.merge_edges(X.kg_edges(spark, d).where("relation = 'ORDERED'"))
+    e = X.kg_edges(spark, d)
+    return graph.merge_edges(e.unionAll(e.where("relation = 'SUPPLIES'")))
 
 
 @query("one_hop_bidir", X.with_(["seeds", "bidir"], "SELECT q_id, uid, dst AS neighbour, relation, source_chunk FROM seeds JOIN bidir ON uid = src"))
@@ -45,8 +46,12 @@ def _hop_sql(n: int, source: str, seen: list[str]) -> dict[str, str]:
       WHERE NOT EXISTS (SELECT 1 FROM ({gone}) s WHERE s.q_id = n.q_id AND s.uid = n.uid)) WHERE r <= 5"""}
 
 
-_WALK = {"h0": "SELECT q_id, uid FROM seeds"} | _hop_sql(1, "h0", ["h0"]) | _hop_sql(2, "h1", ["h0", "h1"]) | _hop_sql(3, "h2", ["h0", "h1", "h2"])
-_PARTS = " UNION ALL ".join(f"SELECT q_id, chunk_id, CAST({w} AS DOUBLE) AS w FROM h{i} JOIN kg_mentions USING (uid) UNION ALL SELECT q_id, source_chunk, CAST({w} AS DOUBLE) FROM h{i} JOIN bidir ON uid = src" for i, w in enumerate((1, 0.5, 0.25, 0.25)))
+HOPS = 10
+_WALK = {"h0": "SELECT q_id, uid FROM seeds"}
+for _n in range(1, HOPS):
+    _WALK |= _hop_sql(_n, f"h{_n - 1}", [f"h{_i}" for _i in range(_n)])
+_W = [0.5 ** min(_n, 2) for _n in range(HOPS)]
+_PARTS = " UNION ALL ".join(f"SELECT q_id, chunk_id, CAST({w} AS DOUBLE) AS w FROM h{i} JOIN kg_mentions USING (uid) UNION ALL SELECT q_id, source_chunk, CAST({w} AS DOUBLE) FROM h{i} JOIN bidir ON uid = src" for i, w in enumerate(_W))
 
 
 def _affinity(spark, d):
@@ -56,12 +61,12 @@ def _affinity(spark, d):
 @query("l1_bfs_beam", X.with_(["seeds", "kg_mentions", "bidir", "entities"], f"""SELECT q_id, ent_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM (
   SELECT q_id, 'e1' AS ent_id, chunk_id, round(sum(w), 6) AS score FROM ({_PARTS}) GROUP BY ALL)) WHERE r <= 15""", _WALK))
 def l1_bfs_beam(spark, d):
-    return walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d), max_hops=4)[0]
+    return walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d))[0]
 
 
-@query("l1_node_scores", X.with_(["seeds", "bidir", "entities"], "SELECT q_id, 'e1' AS ent_id, uid, score FROM (" + " UNION ALL ".join(f"SELECT q_id, uid, CAST({w} AS DOUBLE) AS score FROM h{i}" for i, w in enumerate((1, 0.5, 0.25, 0.25))) + ")", _WALK))
+@query("l1_node_scores", X.with_(["seeds", "bidir", "entities"], "SELECT q_id, 'e1' AS ent_id, uid, score FROM (" + " UNION ALL ".join(f"SELECT q_id, uid, CAST({w} AS DOUBLE) AS score FROM h{i}" for i, w in enumerate(_W)) + ")", _WALK))
 def l1_node_scores(spark, d):
-    return walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d), max_hops=4)[1]
+    return walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d))[1]
 
 
 @query("l2_two_hop", X.with_(["seeds", "l2_vertices", "bidir", "entities"], """SELECT q_id, 'e1' AS ent_id, chunk_id, round(sum(w), 6) AS score FROM (
@@ -70,15 +75,20 @@ def l1_node_scores(spark, d):
   UNION ALL SELECT q_id, source_chunk, CAST(0.5 AS DOUBLE) FROM h0 JOIN bidir ON uid = src UNION ALL SELECT q_id, source_chunk, CAST(0.3 AS DOUBLE) FROM h1 JOIN bidir ON uid = src) GROUP BY ALL""",
     {"h0": "SELECT q_id, uid FROM seeds WHERE uid IN (SELECT vid FROM l2_vertices)"} | _hop_sql(1, "h0", ["h0"]) | _hop_sql(2, "h1", ["h0", "h1"])))
 def l2_two_hop(spark, d):
-    return walk.two_hop(X.seeds(spark, d), X.l2_vertices(spark, d), X.kg_edges(spark, d), _affinity(spark, d))
+    return walk.two_hop(X.seeds(spark, d), X.l2_vertices(spark, d), X.kg_edges(spark, d), _affinity(spark, d))[0]
+
+
+_FACT = {"f0": "SELECT q_id, uid FROM seeds"}
+for _n in range(1, HOPS):
+    _seen = " UNION ALL ".join(f"SELECT q_id, uid FROM f{_i}" for _i in range(_n))
+    _FACT[f"f{_n}"] = f"SELECT DISTINCT s.q_id, b.dst AS uid FROM f{_n - 1} s JOIN bidir b ON s.uid = b.src WHERE NOT EXISTS (SELECT 1 FROM ({_seen}) z WHERE z.q_id = s.q_id AND z.uid = b.dst)"
+_FACT_PARTS = " UNION ALL ".join(f"SELECT q_id, chunk_id, CAST({0.5**i} AS DOUBLE) AS w FROM f{i} JOIN kg_mentions USING (uid) UNION ALL SELECT q_id, source_chunk, CAST({0.5 ** (i + 1)} AS DOUBLE) FROM f{i} JOIN bidir ON uid = src" for i in range(HOPS))
 
 
-@query("fact_bfs_decay", X.with_(["seeds", "kg_mentions", "bidir"], """SELECT q_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM (SELECT q_id, chunk_id, round(sum(w), 6) AS score FROM (
-  SELECT q_id, chunk_id, CAST(1 AS DOUBLE) AS w FROM seeds JOIN kg_mentions USING (uid) UNION ALL SELECT q_id, source_chunk, CAST(0.5 AS DOUBLE) FROM seeds JOIN bidir ON uid = src
-  UNION ALL SELECT q_id, chunk_id, CAST(0.5 AS DOUBLE) FROM f1 JOIN kg_mentions USING (uid) UNION ALL SELECT q_id, source_chunk, CAST(0.25 AS DOUBLE) FROM f1 JOIN bidir ON uid = src) GROUP BY ALL)) WHERE r <= 15""",
-    {"f1": "SELECT DISTINCT q_id, dst AS uid FROM seeds s JOIN bidir b ON s.uid = b.src WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.q_id = s.q_id AND z.uid = b.dst)"}))
+@query("fact_bfs_decay", X.with_(["seeds", "kg_mentions", "bidir"], f"""SELECT q_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM (
+  SELECT q_id, chunk_id, round(sum(w), 6) AS score FROM ({_FACT_PARTS}) GROUP BY ALL)) WHERE r <= 15""", _FACT))
 def fact_bfs_decay(spark, d):
-    return walk.fact_walk(X.seeds(spark, d).select("q_id", "uid", "weight"), X.kg_mentions(spark, d), X.kg_edges(spark, d), max_hops=2)
+    return walk.fact_walk(X.seeds(spark, d).select("q_id", "uid", "weight"), X.kg_mentions(spark, d), X.kg_edges(spark, d))
 
 
 @query("fact_l2_lookup", X.with_(["seeds", "l2_vertices", "bidir"], """SELECT q_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM (SELECT q_id, chunk_id, round(sum(w), 6) AS score FROM (
@@ -87,19 +97,35 @@ def fact_l2_lookup(spark, d):
     return walk.fact_lookup(X.seeds(spark, d).select("q_id", "uid", "weight"), X.l2_vertices(spark, d), X.kg_edges(spark, d))
 
 
-@query("var_length_paths", X.with_(["seeds", "kg_edges"], """SELECT uid, path, CAST(hops AS BIGINT) AS hops FROM (
+_STEP = {"e": "SELECT DISTINCT src, dst, relation, src || '|' || relation || '|' || dst AS eid FROM kg_edges",
+    "step": "SELECT src AS a, dst AS b, ' -' || relation || '-> ' || dst AS t, eid FROM e UNION ALL SELECT dst, src, ' <-' || relation || '- ' || src, eid FROM e"}
+_PATHS = """SELECT uid, path, CAST(hops AS BIGINT) AS hops FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY hops, path) AS r FROM (
   SELECT uid, uid || t AS path, 1 AS hops FROM seeds JOIN step ON uid = a
-  UNION ALL SELECT uid, uid || x.t || y.t, 2 FROM seeds JOIN step x ON uid = x.a JOIN step y ON x.b = y.a AND x.eid <> y.eid)""",
-    {"e": "SELECT DISTINCT src, dst, relation, src || '|' || relation || '|' || dst AS eid FROM kg_edges WHERE relation = 'ORDERED'",
-     "step": "SELECT src AS a, dst AS b, ' -[' || relation || ']-> ' || dst AS t, eid FROM e UNION ALL SELECT dst, src, ' <-[' || relation || ']- ' || src, eid FROM e"}))
+  UNION ALL SELECT uid, uid || x.t || y.t, 2 FROM seeds JOIN step x ON uid = x.a JOIN step y ON x.b = y.a AND x.eid <> y.eid)) WHERE r <= 30"""
+
+
+@query("var_length_paths", X.with_(["seeds", "kg_edges"], _PATHS, _STEP))
 def var_length_paths(spark, d):
-    return graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d).where("relation = 'ORDERED'"), 2)
+    return graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d), 2, limit=30)
 
 
-@query("path_sequences", X.with_(["seeds", "kg_edges"], """SELECT uid, count(*) AS n, min(path) AS first_path FROM (SELECT uid, uid || t AS path FROM seeds JOIN step ON uid = a) GROUP BY uid""",
-    {"e": "SELECT DISTINCT src, dst, relation FROM kg_edges", "step": "SELECT src AS a, ' -[' || relation || ']-> ' || dst AS t FROM e UNION ALL SELECT dst, ' <-[' || relation || ']- ' || src FROM e"}))
+@query("path_sequences", X.with_(["seeds", "kg_edges"], f"SELECT DISTINCT path FROM ({_PATHS})", _STEP))
 def path_sequences(spark, d):
-    return graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d), 1).groupBy("uid").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return graph.sequences(graph.path_map(graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d), 2, limit=30)))
+
+
+@query("path_triples", X.with_(["seeds", "kg_edges"], f"""SELECT DISTINCT unnest(CASE WHEN hops = 1 THEN [CASE WHEN starts_with(a1, '-') THEN h || '|' || r1 || '|' || m ELSE m || '|' || r1 || '|' || h END]
+  ELSE [CASE WHEN starts_with(a1, '-') THEN h || '|' || r1 || '|' || m ELSE m || '|' || r1 || '|' || h END, CASE WHEN starts_with(a2, '-') THEN m || '|' || r2 || '|' || t ELSE t || '|' || r2 || '|' || m END] END) AS triple FROM (
+  SELECT hops, s[1] AS h, s[2] AS a1, trim(s[2], '<->') AS r1, s[3] AS m, s[4] AS a2, trim(s[4], '<->') AS r2, s[5] AS t FROM (SELECT hops, string_split(path, ' ') AS s FROM ({_PATHS})))""", _STEP))
+def path_triples(spark, d):
+    p = graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d), 2, limit=30)
+    return graph.triples_of(p).select(F.concat_ws("|", "head", "relation", "tail").alias("triple")).distinct()
+
+
+@query("path_entities", X.with_(["seeds", "kg_edges"], f"""SELECT path, CAST(len(list_distinct(list_filter([s[1], s[3], s[5]], lambda x: x IS NOT NULL))) AS BIGINT) AS entities FROM (SELECT DISTINCT path, string_split(path, ' ') AS s FROM ({_PATHS}))""", _STEP))
+def path_entities(spark, d):
+    p = graph.paths(X.seeds(spark, d).select("uid"), X.kg_edges(spark, d), 2, limit=30)
+    return graph.entities_by_path(p).select("path", F.size("entities").cast("bigint").alias("entities"))
 
 
 @query("chunk_subgraph", X.with_(["kg_edges", "kg_mentions"], """SELECT chunk_id, CAST(count(DISTINCT uid) AS BIGINT) AS nodes, CAST(max(n) AS BIGINT) AS edges FROM (
@@ -130,12 +156,12 @@ def coverage(spark, d):
     return graph.coverage(X.hits(spark, d)).select("q_id", "chunk_id", "n_entities", F.array_join("entities", ",").alias("entities"))
 
 
-_NODES = " UNION ALL ".join(f"SELECT q_id, uid, CAST({w} AS DOUBLE) AS score FROM h{i}" for i, w in enumerate((1, 0.5, 0.25, 0.25)))
+_NODES = " UNION ALL ".join(f"SELECT q_id, uid, CAST({w} AS DOUBLE) AS score FROM h{i}" for i, w in enumerate(_W))
 
 
 @query("entity_rank_topk", X.with_(["seeds", "bidir", "entities"], f"SELECT q_id, uid, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, uid) AS rank FROM ({_NODES})) WHERE rank <= 10", _WALK))
 def entity_rank_topk(spark, d):
-    nodes = walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d), max_hops=4)[1]
+    nodes = walk.beam_walk(X.seeds(spark, d), X.kg_mentions(spark, d), X.kg_edges(spark, d), _affinity(spark, d))[1]
     return ranking.top_nodes(nodes, 10)
 
 
@@ -144,7 +170,7 @@ def entity_rank_topk(spark, d):
   JOIN (SELECT q_id, chunk_id, min(rank) AS best_rank FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, uid) AS rank FROM ({_NODES})) WHERE rank <= 15) JOIN kg_mentions USING (uid) GROUP BY ALL) USING (q_id, chunk_id)""", _WALK))
 def graph_rank(spark, d):
     m = X.kg_mentions(spark, d)
-    chunks, nodes = walk.beam_walk(X.seeds(spark, d), m, X.kg_edges(spark, d), _affinity(spark, d), max_hops=4)
+    chunks, nodes = walk.beam_walk(X.seeds(spark, d), m, X.kg_edges(spark, d), _affinity(spark, d))
     return ranking.graph_chunks(chunks, ranking.top_nodes(nodes, 15), m)
 
 

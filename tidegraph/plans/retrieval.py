@@ -12,15 +12,14 @@ from .registry import query, table
 
 
 def dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    skip = F.col("chunk_id") == F.concat(F.lit("chunk_"), F.col("q_id").cast("string"))
-    return vector_search.top_k(X.questions(spark, d), X.chunks(spark, d), k, skip=skip)
+    return vector_search.top_k(X.questions(spark, d), X.chunks(spark, d), k, own=F.concat(F.lit("chunk_"), F.col("q_id").cast("string")))
 
 
 def graph_list(spark: SparkSession, d: str, k: int = 15) -> DataFrame:
     """A second ranking: chunks of the question's own label, by score + 1."""
-    q, c = X.questions(spark, d), X.chunks(spark, d)
-    near = q.join(c, (c.label == q.q_label) & (c.vec_id != q.q_id)).select("q_id", "chunk_id", F.round(vector.cosine(F.col("qvec"), F.col("vec")), 6).alias("s"))
-    return vector_search.ranked(near.select("q_id", "chunk_id", (F.col("s") + 1).alias("score"), "s"), "q_id", [F.desc("s"), F.col("chunk_id")], k).drop("s")
+    q = X.questions(spark, d).withColumnRenamed("q_label", "label")
+    near = vector_search.top_k(q, X.chunks(spark, d), k, own=F.concat(F.lit("chunk_"), F.col("q_id").cast("string")), within="label")
+    return near.select("q_id", "chunk_id", (F.col("score") + 1).alias("score"), "rank")
 
 
 def coverage_list(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +38,10 @@ def dpr_only_topk(spark, d):
 
 
 @query("cosine_pairs", """SELECT a.label AS label, count(*) AS n, round(min(s), 6) AS low, round(max(s), 6) AS high FROM (
-  SELECT label, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS s FROM embeddings) a GROUP BY a.label""")
+  SELECT x.label, round(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(y.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])))), 6) AS s FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) a GROUP BY a.label""")
 def cosine_pairs(spark, d):
-    c = X.chunks(spark, d).select(F.col("label").cast("int").alias("label"), F.round(vector.cosine(F.col("vec"), F.col("vec")), 6).alias("s"))
+    c = X.chunks(spark, d)  # each row beside the next one
+    c = c.join(c.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec").alias("other")), "vec_id").select(F.col("label").cast("int").alias("label"), F.round(vector.cosine(F.col("vec"), F.col("other")), 6).alias("s"))
     return c.groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("s"), 6).alias("low"), F.round(F.max("s"), 6).alias("high"))
 
 
@@ -62,7 +62,7 @@ def entity_link_topk(spark, d):
 @query("fact_topk", X.with_(["scored"], "SELECT q_id, fact_id, score, rank FROM (SELECT q_id, 'fact_' || chunk_id AS fact_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, 'fact_' || chunk_id) AS rank FROM scored) WHERE rank <= 100"))
 def fact_topk(spark, d):
     facts = X.chunks(spark, d).withColumn("fact_id", F.concat(F.lit("fact_"), "chunk_id"))
-    return vector_search.top_k(X.questions(spark, d), facts, 100, key="fact_id", skip=F.col("fact_id") == F.concat(F.lit("fact_chunk_"), F.col("q_id").cast("string")))
+    return vector_search.top_k(X.questions(spark, d), facts, 100, key="fact_id", own=F.concat(F.lit("fact_chunk_"), F.col("q_id").cast("string")))
 
 
 _RRF = "SELECT q_id, chunk_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 6) AS score FROM (SELECT q_id, chunk_id, rank FROM dense UNION ALL SELECT q_id, chunk_id, rank FROM glist) GROUP BY ALL"
@@ -73,7 +73,10 @@ def rrf_fusion(spark, d):
     return fusion.rrf(dense(spark, d), graph_list(spark, d))
 
 
-_MM = lambda v, src: f"SELECT q_id, chunk_id, CASE WHEN {v} > 0 THEN CASE WHEN max(CASE WHEN {v} > 0 THEN {v} END) OVER w = min(CASE WHEN {v} > 0 THEN {v} END) OVER w THEN 0.5 ELSE ({v} - min(CASE WHEN {v} > 0 THEN {v} END) OVER w) / (max(CASE WHEN {v} > 0 THEN {v} END) OVER w - min(CASE WHEN {v} > 0 THEN {v} END) OVER w) END END AS n FROM {src} WINDOW w AS (PARTITION BY q_id)"
+def _MM(v: str, src: str) -> str:
+    pos = f"CASE WHEN {v} > 0 THEN {v} END"
+    high, low = f"coalesce(max({pos}) OVER w, CAST(1 AS DOUBLE))", f"coalesce(min({pos}) OVER w, CAST(0 AS DOUBLE))"
+    return f"SELECT q_id, chunk_id, CASE WHEN {high} > {low} THEN ({v} - {low}) / ({high} - {low}) ELSE 0.5 END AS n FROM {src} WINDOW w AS (PARTITION BY q_id)"
 
 
 @query("weighted_fusion", X.with_(["dense", "glist"], """SELECT q_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -101,9 +104,11 @@ def graph_only_topk(spark, d):
     return graph_list(spark, d, 6).select("q_id", "chunk_id", "rank")
 
 
-@query("minmax_norm", X.with_(["dense"], "SELECT q_id, chunk_id, round(n, 6) AS norm FROM (" + _MM("score", "dense") + ")"))
+@query("minmax_norm", X.with_(["scored"], "SELECT q_id, chunk_id, round(n, 6) AS norm FROM (" + _MM("score", "scored") + ")"))
 def minmax_norm(spark, d):
-    return ranking.minmax(dense(spark, d), "score", "n").select("q_id", "chunk_id", F.round("n", 6).alias("norm"))
+    """Over all pairs of questions and chunks, of which about half have scores below 0."""
+    every = vector_search.top_k(X.questions(spark, d), X.chunks(spark, d), 1 << 30, own=F.concat(F.lit("chunk_"), F.col("q_id").cast("string")))
+    return ranking.minmax(every, "score", "n").select("q_id", "chunk_id", F.round("n", 6).alias("norm"))
 
 
 @query("retry_expansion", X.with_(["scored"], "SELECT q_id, chunk_id, rank FROM (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= CASE WHEN q_id % 200 = 0 THEN 20 ELSE 10 END"))
