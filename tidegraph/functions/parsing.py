@@ -38,6 +38,15 @@ def query_relations(raw: Column) -> Column:
     return F.filter(F.transform(F.coalesce(F.when(F.startswith(text, F.lit("[")), named), F.split(text, "[;,]"), F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
 
 
+def query_entities(raw: Column) -> Column:
+    """The entities of a query answer as (id, type, desc); those without an id go, plain texts are ids."""
+    listed = F.from_json(F.get_json_object(json_body(raw), "$.entities"), "array<string>")
+    name = lambda x: F.trim(F.coalesce(F.get_json_object(x, "$.id"), F.get_json_object(x, "$.name"), F.when(~F.startswith(x, F.lit("{")), x), F.lit("")))
+    part = lambda x, k: F.coalesce(F.get_json_object(x, f"$.{k}"), F.lit("")).alias(k)
+    got = F.transform(listed, lambda x: F.struct(name(x).alias("id"), part(x, "type"), part(x, "desc")))
+    return F.coalesce(F.filter(got, lambda e: e["id"] != ""), F.array().cast("array<struct<id:string,type:string,desc:string>>"))
+
+
 def final_answer(raw: Column) -> Column:
     """final_answer or answer of the JSON; else what follows "answer:"; else the text."""
     body = json_body(raw)

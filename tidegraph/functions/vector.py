@@ -24,6 +24,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
+def text_similarity(a: Column, b: Column, dims: int = 32) -> Column:
+    """Inner product of two texts' embeddings, 6 decimals."""
+    return F.round(dot(hashed_embedding(a, dims), hashed_embedding(b, dims)), 6)
+
+
 def hashed_embedding(text: Column, dims: int = 32) -> Column:
     """A deterministic stand-in for a model: word counts hashed by md5 to `dims` columns, L2-normalised."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")

@@ -54,3 +54,22 @@ def agentic(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], ma
         if step == max_steps or active.isEmpty():
             break
     return reduce(DataFrame.unionAll, trace)
+
+
+def agentic_chunks(trace: DataFrame) -> DataFrame:
+    """(q_id, chunks): the distinct chunks of all steps of trace(q_id, step, chunks)."""
+    return trace.groupBy("q_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"))
+
+
+def cached_answers(questions: DataFrame, context: DataFrame, cache: DataFrame, answerer: Callable[[DataFrame, DataFrame], DataFrame] = best_sentence) -> tuple[DataFrame, DataFrame]:
+    """Answers (q_id, answer) and the cache(key, answer) with the new ones; a question with the same chunks, in any order, is answered once.
+
+    context(q_id, chunk_id, text, rank).
+    """
+    chunks = context.groupBy("q_id").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), "|").alias("c"))
+    keyed = questions.join(chunks, "q_id", "left").withColumn("key", F.md5(F.concat_ws("||", "question", F.coalesce("c", F.lit(""))))).drop("c")
+    known = keyed.join(cache.select("key", "answer").dropDuplicates(["key"]), "key").select("q_id", "key", "answer")
+    missing = keyed.join(cache.select("key"), "key", "left_anti")
+    once = missing.groupBy("key").agg(F.min_by(F.struct("q_id", "question"), "q_id").alias("q")).select("key", "q.*")
+    new = answerer(once.select("q_id", "question"), context).join(once.select("q_id", "key"), "q_id").select("key", "answer")
+    return known.select("q_id", "answer").unionByName(missing.join(new, "key").select("q_id", "answer")), cache.select("key", "answer").unionByName(new)

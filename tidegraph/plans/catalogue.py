@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agents, graphs, hybrid, registry, retrieval, streams, texts, tiers  # noqa: F401  each adds its queries
+from . import agents, graphs, hybrid, registry, retrieval, streams, surface, texts, tiers  # noqa: F401  each adds its queries
 
 flagship = retrieval.flagship
 

@@ -238,7 +238,7 @@ def upsert_triplet(spark, d):
     return store.upsert(rows.limit(0).drop("write_seq"), rows, ["vid", "relation"]).groupBy("vid").agg(F.count("*").alias("n"))
 
 
-@query("storage_footprint", X.with_(["l2_vertices", "kg_edges"], """SELECT CAST(n * 100 + e * 50 AS DOUBLE) AS l2_logical, round(CAST(n * 100 + e * 50 AS DOUBLE) * 4.57::DOUBLE, 2) AS l2_disk, CAST(v * 64 * 4 AS DOUBLE) AS vector_data, round(CAST(v * 64 * 4 AS DOUBLE) * 1.5::DOUBLE, 2) AS vector_index, CAST(150000 AS DOUBLE) AS l1_bound
+@query("storage_footprint", X.with_(["l2_vertices", "kg_edges"], """SELECT CAST(n * 100 + e * 50 AS DOUBLE) AS l2_logical, round(CAST(n * 100 + e * 50 AS DOUBLE) * 4.57::DOUBLE, 2) AS l2_disk, CAST(v * 64 * 4 AS DOUBLE) AS vector_data, round(CAST(v * 64 * 4 AS DOUBLE) * 1.5::DOUBLE, 2) AS vector_index, CAST(150000 AS DOUBLE) AS l1_bound, round(CAST(n * 100 + e * 50 AS DOUBLE) * 4.57::DOUBLE / 150000, 4) AS ratio
   FROM (SELECT (SELECT count(*) FROM l2_vertices) AS n, (SELECT count(*) FROM kg_edges) AS e, (SELECT count(*) FROM embeddings) AS v)"""))
 def storage_footprint(spark, d):
     from .registry import table

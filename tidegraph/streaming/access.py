@@ -11,11 +11,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import store
+from ..operators import cache, store
 from ..session import checkpoints
 
 
@@ -93,3 +93,30 @@ def ingest(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]
         build(batch).write.mode("overwrite").parquet(f"{path}/version={number + 1}")
 
     stream.writeStream.option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def pruned(stream: DataFrame, path: str, now: Column, ttl_s: int, c_max: int) -> None:
+    """After each micro-batch of accesses the resident chunks' state is a new version at path, within capacity and idle time."""
+
+    def prune(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = cache.chunk_state(batch)
+        if number:
+            both = spark.read.parquet(f"{path}/version={number}").select(*own.columns).unionByName(own)
+            own = both.groupBy("chunk_id").agg(F.min("created_at").alias("created_at"), F.max("last_access").alias("last_access"), F.sum("hits").alias("hits"))
+        cache.prune(own, now, ttl_s, c_max).write.mode("overwrite").parquet(f"{path}/version={number + 1}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).foreachBatch(prune).start().awaitTermination()
+
+
+def driven(batches: int, ingest: Callable[[int], None], answer: Callable[[int], None], odd_only: bool = False, noise: Callable[[int], None] | None = None) -> list[int]:
+    """Batches 1..n in turn: each is ingested, then answered; with odd_only the even ones aren't, and take noise documents instead. The numbers answered."""
+    done = []
+    for number in range(1, batches + 1):
+        ingest(number)
+        if not odd_only or number % 2:
+            answer(number)
+            done.append(number)
+        elif noise is not None:
+            noise(number)
+    return done
