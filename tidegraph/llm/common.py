@@ -182,17 +182,32 @@ def sliding(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
     return op(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def sampled(rows: DataFrame, most: int, *key: str | Column) -> DataFrame:
-    """At most `most` rows, those with the smallest hash of `key`, with that hash as h.
+def below(share: float) -> int:
+    """The 64-bit hash below which about this share of hashes lies."""
+    return min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))
 
-    A count sets a threshold that lets about a third more than that through, so what is sorted, and meets in one task, is
-    bounded by `most` and not by the number of partitions.
+
+def sampled(rows: DataFrame, most: int, *key: str | Column, size: Column | None = None, most_bytes: int = 0) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of `key`, with that hash as h; of rows with equal hashes one.
+
+    A count sets a threshold that lets about a third more than that through; of what passes only hashes meet in one task, so rows
+    stay where they are.  With `size`, rows are taken in that order as long as their sizes add up to most_bytes.
     """
     n = rows.count()
     share = min(1.0, (1.3 * most + 100) / max(1, n))
     hashed = rows.withColumn("h", F.xxhash64(*key))
-    few = hashed.where(F.col("h") <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else hashed
-    return few.orderBy("h", *key).limit(most)
+    few = hashed.where(F.col("h") <= below(share)) if share < 1 else hashed
+    first = few.groupBy("h").agg(F.first(size if size is not None else F.lit(0)).alias("n")).orderBy("h").limit(most).collect()  # two numbers for each row of the sample
+    total, last = 0, None
+    for r in first:
+        total += r["n"] or 0
+        if size is not None and total > most_bytes and last is not None:
+            break
+        last = r["h"]
+    if last is None:
+        return hashed.limit(0)
+    others = [c for c in hashed.columns if c != "h"]
+    return few.where(F.col("h") <= last).groupBy("h").agg(*[F.first(c).alias(c) for c in others]).select(*others, "h")
 
 
 def row_key() -> list:

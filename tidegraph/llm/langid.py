@@ -6,8 +6,9 @@ normalised.  Each language's training vectors are clustered by cosine (k-means f
 text takes the language of the centroid with the largest cosine.  A text farther from every centroid than nearly all training texts of
 its length is rejected.
 
-Training uses at most ``sample`` labelled rows (a documented bound: those with the smallest hash of
-doc_id), whole texts; the model is a few MB, whatever the corpus holds.
+Centroids and limits are learnt from at most ``sample`` labelled rows (a documented bound), as many of each language as share it evenly: those with the
+smallest hash of (doc_id, text), whole texts, so that a rare language has its centroids on a corpus of any size.  Document frequencies are those
+of all rows of the training fold.  The model is a few MB, whatever the corpus holds.
 
 Defined cases: null, empty and letterless texts are ``und``, score 0, rejected; rows stay one to one and equal texts
 get equal results; a null doc_id is carried and is never trained on; with no labelled row all is ``und``; further columns are ignored.
@@ -98,11 +99,38 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """(texts that have each column, texts) of all rows(text) with a letter: partial counts of each partition, summed by Spark."""
+
+    def run(parts):
+        total, n = np.zeros(DIMS + 1, np.int64), 0
+        for part in parts:
+            texts = [x for x in part.column("text").to_pylist() if x and _LETTER.search(x)]
+            for a in range(0, len(texts), 64):
+                total[:DIMS] += (counts(texts[a : a + 64]) > 0).sum(axis=0)
+            n += len(texts)
+        total[DIMS] = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    got = rows.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # as many rows as columns
+    out = np.zeros(DIMS + 1, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out[:DIMS], int(out[DIMS])
+
+
 def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model | None:
-    """Learn from text and non-null lang of rows that aren't held out, at most `sample` of them."""
+    """Learn from text and non-null lang of rows that aren't held out; `sample` of them for centroids and limits."""
     common.small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    rows = common.sampled(rows.select("doc_id", "text", "lang"), sample, "doc_id").select("text", "lang")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).select("doc_id", "text", "lang")
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number for each language
+    if not known:
+        return None
+    each = -(-sample // len(known))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    limit = F.create_map(*[F.lit(x) for lang, n in sorted(known.items()) for x in (lang, common.below(min(1.0, (1.2 * each + 60) / n)))])
+    few = hashed.where(F.col("h") <= limit[F.col("lang")])
+    chosen = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(parts):  # what goes to the driver is sparse counts, not texts
         for part in parts:
@@ -110,9 +138,9 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
             keep = [i for i, x in enumerate(texts) if _LETTER.search(x)]
             x = counts([texts[i] for i in keep])
             at = [np.flatnonzero(r).astype(np.uint16) for r in x]
-            yield pa.RecordBatch.from_arrays([pa.array([part.column("lang")[i].as_py() for i in keep], pa.string()), pa.array([len(texts[i]) for i in keep], pa.int64()), pa.array([common.pack(a, r[a]) for a, r in zip(at, x, strict=True)], pa.binary())], names=["lang", "n", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("lang")[i].as_py() for i in keep], pa.string()), pa.array([part.column("h")[i].as_py() for i in keep], pa.int64()), pa.array([len(texts[i]) for i in keep], pa.int64()), pa.array([common.pack(a, r[a]) for a, r in zip(at, x, strict=True)], pa.binary())], names=["lang", "h", "n", "x"])
 
-    got = rows.mapInArrow(run, "lang string, n long, x binary").toArrow()
+    got = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, n long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     if not got.num_rows:
         return None
     x = np.zeros((got.num_rows, DIMS), np.float32)
@@ -120,7 +148,8 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
         at, value = common.unpack(block)
         row[at] = value
     lang, size = np.array(got.column("lang").to_pylist(), object), got.column("n").to_numpy()
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
+    have, n_rows = frequencies(rows)
+    idf = (np.log((1 + n_rows) / (1 + have)) + 1).astype(np.float32)
     x = np.log1p(x) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     names, found = [], []

@@ -4,8 +4,8 @@ Learned filters of ``WIDTH`` bytes slide over the whole text by ``STRIDE``.  The
 of ``PIECE`` bytes, pieces are averaged within overlapping chunks of ``PIECES``, and a text's chunks are combined by
 their mean and their maximum into one logistic score.  Every byte of every text is seen.
 
-Training (Adam on the log loss) uses at most ``SAMPLE`` labelled rows, those with the smallest hash, and of each at
-most ``TRAIN_CHUNKS`` evenly spread chunks; both are documented bounds.  Rows of the held-out fold never train.
+Training (Adam on the log loss) uses at most ``SAMPLE`` labelled rows, those with the smallest hash, as long as their texts are ``SAMPLE_BYTES``
+or less in all; both are documented bounds of the sample, and each text of it is learnt from whole.  Rows of the held-out fold never train.
 
 Defined cases: a null text is scored as an empty one, an empty text as padding; rows stay one to one and equal texts
 get equal scores; a null doc_id is carried, and joins no label; labels that contradict each other for a
@@ -23,7 +23,7 @@ from . import common
 from .langid import held_out
 
 WIDTH, STRIDE, PIECE, PIECES, HOP, FILTERS = 8, 2, 64, 8, 7, 16
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH = 3000, 10, 8, 64
+SAMPLE, SAMPLE_BYTES, EPOCHS, BATCH = 3000, 64 << 20, 8, 64
 STEP = 1 << 19  # bytes whose responses are held at once
 CHUNK_BYTES, HOP_BYTES = PIECE * PIECES, PIECE * HOP
 
@@ -87,36 +87,53 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(examples: list[tuple[np.ndarray, int]], seed: int = 7) -> Net:
-    """examples: (chunks, CHUNK_BYTES) uint8 and the label 0 or 1."""
+def strongest(net: Net, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each piece and filter: the largest response, and the byte where it starts; as score() sees them."""
+    tops, places = [], []
+    for a in range(0, len(raw), STEP):
+        part = raw[a : a + STEP + PIECE]  # the next piece too: the last one's filters reach into it
+        own = net.responses(part)[: len(raw[a : a + STEP]) // PIECE]
+        where = own.argmax(axis=1)
+        tops.append(np.take_along_axis(own, where[:, None, :], axis=1)[:, 0, :])
+        places.append(a + (np.arange(len(where))[:, None] * (PIECE // STRIDE) + where) * STRIDE)
+    return np.concatenate(tops), np.concatenate(places)
+
+
+def train(examples: list[tuple[bytes, int]], seed: int = 7) -> Net:
+    """examples: whole texts and the label 0 or 1."""
     net, r = Net(seed), np.random.default_rng(seed)
     m, v = ([np.zeros_like(x) for x in net.parts()] for _ in range(2))
     step = 0
-    span = PIECE // STRIDE
     for epoch in range(EPOCHS):
         order = r.permutation(len(examples))
         rate = 0.02 * (1 - epoch / EPOCHS) + 0.002
         for s in range(0, len(order), BATCH):
             own = [examples[i] for i in order[s : s + BATCH]]
-            n_chunks = np.array([len(x) for x, _ in own])
             y = np.array([y for _, y in own], np.float32)
-            raw = np.concatenate([x.reshape(-1) for x, _ in own])
-            response = net.responses(raw)
-            where = response.argmax(axis=1)
-            top = np.take_along_axis(response, where[:, None, :], axis=1)[:, 0, :] + net.bias
+            raw, pieces = laid_out([x for x, _ in own])
+            top, place = strongest(net, raw)
+            top = top + net.bias
             live = top > 0
-            chunk = np.where(live, top, 0).reshape(-1, PIECES, FILTERS).mean(axis=1)
-            base = np.concatenate([[0], np.cumsum(n_chunks)])
+            pooled = np.where(live, top, 0)
+            base = np.cumsum(pieces) - pieces
+            starts = [chunk_starts(p) for p in pieces.tolist()]
+            n_chunks = np.array([len(x) for x in starts])
+            at = np.concatenate([x + b for x, b in zip(starts, base, strict=True)])  # first pieces of all chunks
+            total = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(pooled, axis=0, dtype=np.float64)])
+            chunk = ((total[at + PIECES] - total[at]) / PIECES).astype(np.float32)
+            first = np.cumsum(n_chunks) - n_chunks
             doc_of = np.repeat(np.arange(len(own)), n_chunks)
-            high = np.maximum.reduceat(chunk, base[:-1], axis=0)
-            mean = np.add.reduceat(chunk, base[:-1], axis=0) / n_chunks[:, None]
+            high = np.maximum.reduceat(chunk, first, axis=0)
+            mean = np.add.reduceat(chunk, first, axis=0) / n_chunks[:, None]
             z = high @ net.weight[:FILTERS] + mean @ net.weight[FILTERS:] + net.out[0]
             dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(own)
             g_weight = np.concatenate([high.T @ dz, mean.T @ dz])
             ahead = (chunk == high[doc_of]) * (dz[doc_of, None] * net.weight[:FILTERS]) + (dz / n_chunks)[doc_of, None] * net.weight[FILTERS:]
-            g_piece = np.repeat(ahead / PIECES, PIECES, axis=0) * live
+            edge = np.zeros((len(pooled) + 1, FILTERS))  # a chunk's gradient goes to each of its pieces
+            np.add.at(edge, at, ahead / PIECES)
+            np.add.at(edge, at + PIECES, -ahead / PIECES)
+            g_piece = np.cumsum(edge[:-1], axis=0) * live
             g_table = np.zeros_like(net.table)
-            place = (np.arange(len(where))[:, None] * span + where) * STRIDE
             padded = np.concatenate([raw, np.zeros(WIDTH, np.uint8)])
             column = np.arange(FILTERS)
             for i in range(WIDTH):
@@ -130,30 +147,16 @@ def train(examples: list[tuple[np.ndarray, int]], seed: int = 7) -> Net:
     return net
 
 
-def spread_chunks(text: bytes, most: int = TRAIN_CHUNKS) -> bytes:
-    """Up to `most` evenly spread chunks of a text, end to end."""
-    raw, pieces = laid_out([text])
-    at = chunk_starts(int(pieces[0]))
-    at = at[np.unique(np.linspace(0, len(at) - 1, most).round().astype(int))]
-    return b"".join(raw[a * PIECE : a * PIECE + CHUNK_BYTES].tobytes() for a in at)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """Learn quality from rows that aren't held out, at most `sample` of them."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Net | None:
+    """Learn quality from rows that aren't held out: at most `sample` of them, of `sample_bytes` of text in all."""
     common.small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("most")).where("y = most")
-    known = common.sampled(known.select("doc_id", F.col("y").cast("int").alias("y")), sample, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `sample` rows of 24 bytes
-    rows = rows.orderBy("h", "doc_id", F.xxhash64("text")).limit(sample)
-
-    def run(parts):
-        for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([spread_chunks((x or "").encode("utf-8", "surrogatepass")) for x in part.column("text").to_pylist()], pa.binary())], names=["y", "x"])
-
-    got = rows.select("h", "y", "text").mapInArrow(run, "y int, x binary").toArrow()
+    known = common.sampled(known.select("doc_id", F.col("y").cast("int").alias("y")), sample, "doc_id").select("doc_id", "y")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(known), "doc_id")  # at most `sample` rows of 24 bytes
+    got = common.sampled(rows, sample, "doc_id", F.col("text"), size=F.octet_length("text"), most_bytes=sample_bytes).orderBy("h").toArrow()
     if not got.num_rows:
         return None
-    return train([(np.frombuffer(x, np.uint8).reshape(-1, CHUNK_BYTES), y) for x, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True)])
+    return train([(x or b"", y) for x, y in zip(got.column("text").to_pylist(), got.column("y").to_pylist(), strict=True)])
 
 
 def classify(docs: DataFrame, net: Net | None) -> DataFrame:

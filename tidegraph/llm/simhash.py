@@ -17,11 +17,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
+_OWN = ("__key", "__none", "__th", "__n")
+
 
 def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     """Bit i is 1 if it is set in over half the XXH64 (seed 42) of the text's word shingles, repeats included."""
@@ -43,15 +45,15 @@ def fingerprint_of(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, th, fp): th is a hash of the text, fp the fingerprint's 64 bits as a signed long."""
     common.small_batches(docs.sparkSession)
 
     def run(parts):
         for part in parts:
             fp = np.array([fingerprint_of(x, shingle) for x in part.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -139,28 +141,37 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
     return met.groupBy("lo", "hi").applyInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most radius bits."""
+def _labelled(docs: DataFrame, shingle: int, radius: int, tile: int) -> DataFrame:
+    """(doc_id, th, fp, label, component_id): label is the smallest fingerprint of the component, as a signed long."""
     prints = common.written(fingerprints(docs, shingle), "simhash")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     found = common.components(links(distinct.select("fp"), radius, tile), "simhash")
     label = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("low").alias("component_id"))
-    return prints.join(label.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(label.join(least, "label").select("fp", "label", "component_id"), "fp").select("doc_id", "th", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most radius bits."""
+    return _labelled(docs, shingle, radius, tile).select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 1 << 17) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows of equal doc_id and text count as one.
+    """docs with one row of each component: of the smallest doc_id, or of no doc_id where the component has none.
 
-    Of such rows the one whose other columns, written as JSON, have the smallest hash stays.  Rows with a null doc_id stay only where a
-    component has no doc_id at all.
+    If that doc_id has several texts in the component, the text with the smallest hash stays; of rows equal in doc_id and text the one whose other
+    columns, written as JSON, have the smallest hash.
     """
-    def keyed(df: DataFrame) -> DataFrame:  # plain columns: what the join has dealt out serves the window as well
-        return df.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__none": F.col("doc_id").isNull()})
-
-    found = near_duplicates(docs, shingle, radius, tile)
-    chosen = keyed(found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("__key", "__none").distinct()
-    kept = keyed(docs).join(chosen, ["__key", "__none"], "left_semi")
-    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy("__key", "__none", "text").orderBy(F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0))))
-    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+
+    def keyed(df: DataFrame, text_hash: Column) -> DataFrame:  # plain columns: what the join has dealt out serves the window as well
+        return df.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "__none": F.col("doc_id").isNull(), "__th": text_hash})
+
+    found = _labelled(docs, shingle, radius, tile)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(F.min("th").alias("th"), F.min("doc_id").alias("doc_id"))
+    chosen = keyed(first, F.col("th")).select("__key", "__none", "__th").distinct()
+    aside = [c for c in docs.columns if c in _OWN]  # columns of the names used here are set aside
+    plain = docs.withColumnsRenamed({c: f"__own{c}" for c in aside})
+    kept = keyed(plain, F.xxhash64("text")).join(chosen, ["__key", "__none", "__th"], "left_semi")
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in plain.columns if c not in ("doc_id", "text")]
+    order = F.row_number().over(Window.partitionBy("__key", "__none", "__th").orderBy(F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)))
+    return kept.withColumn("__n", order).where("__n = 1").select(*plain.columns).withColumnsRenamed({f"__own{c}": c for c in aside})

@@ -185,7 +185,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     size = docs.agg(F.sum(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1))).alias("n")).first()["n"]
     share = min(1.0, SAMPLE / max(1, size or 1))
     last = F.greatest(F.floor((F.coalesce(F.length("text"), F.lit(0)) - 1) / SEGMENT), F.lit(0)).cast("int")
-    drawn = F.filter(F.sequence(F.lit(0), last), lambda i: F.xxhash64("doc_id", i) <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1))))
+    drawn = F.filter(F.sequence(F.lit(0), last), lambda i: F.xxhash64("doc_id", i) <= common.below(share))
     rows = docs.select("doc_id", "text", F.explode(drawn).alias("i")).select("doc_id", "i", F.substring("text", F.col("i") * SEGMENT + 1, F.lit(SEGMENT)).alias("text"))
 
     def run(parts):

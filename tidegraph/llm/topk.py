@@ -1,6 +1,6 @@
 """Exact top-k by inner product, block at a time.
 
-Vectors of integers are laid out in blocks of neighbouring ids, each with the largest and smallest value of every component.  Components
+Vectors of integers are dealt to shards by runs of ids; a shard lays them out in blocks of like rows, each with the largest and smallest value of every component.  Components
 are a query's terms: its bound for a block is the sum over terms of the query's weight times the block's maximum (minimum,
 for a negative weight).  A query takes a shard's blocks by falling bound, scores a whole block through its forward index,
 and ends with the first bound below its k-th best score so far; bounds equal to it are still read, for ties.
@@ -43,6 +43,22 @@ def products(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, x)) for x in exact], np.int64)
 
 
+def arranged(matrix: np.ndarray, most: int = BLOCK) -> np.ndarray:
+    """An order of rows in which each run of `most` is alike: halves along the component that varies most, again and again."""
+    out, todo = [], [np.arange(len(matrix))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        rows = matrix[own]
+        by = rows[:, int(rows.var(axis=0, dtype=np.float64).argmax())] if rows.shape[1] else np.zeros(len(own), np.int64)
+        half = -(-len(own) // (2 * most)) * most  # whole blocks
+        order = np.argsort(by, kind="stable")
+        todo += [own[order[half:]], own[order[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def search(ids: np.ndarray, matrix: np.ndarray, edges: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query_id, vec_id, score) of each query's k best among rows in blocks edges[i]:edges[i + 1]; and the share of blocks that were read."""
     high, low = (f.reduceat(matrix, edges[:-1], axis=0).astype(np.float64) for f in (np.maximum, np.minimum))
@@ -97,8 +113,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
         if not len(ids) or not len(who):
             found = [np.zeros(0, np.int64)] * 3
         else:
-            edges = np.append(np.flatnonzero(np.diff(ids // BLOCK, prepend=ids[0] // BLOCK - 1)), len(ids))
-            found, _ = search(ids, flat.reshape(len(ids), dim), edges, who, ask.reshape(len(who), dim), k)
+            matrix = flat.reshape(len(ids), dim)
+            order = arranged(matrix)
+            edges = np.append(np.arange(0, len(ids), BLOCK), len(ids))
+            found, _ = search(ids[order], matrix[order], edges, who, ask.reshape(len(who), dim), k)
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
     near = left.groupBy("dim", "shard", "grp").cogroup(right.groupBy("dim", "shard", "grp")).applyInArrow(meet, "query_id long, vec_id long, score long")
