@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 ALPHA, SEED, LONGEST = 1.0, 42, 1 << 12
-STEP, EDGES = 1 << 19, 12 << 20  # bytes that are sampled at once; edges that a worker keeps
+STEP, EDGES = 1 << 19, 6 << 20  # bytes that are sampled at once; edges that a worker keeps
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
