@@ -1,6 +1,8 @@
 """Hand-computed cases of the engine's own operators."""
 
 import datetime
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,41 @@ def test_walks(spark, small_graph):
     assert {r["chunk_id"]: r["score"] for r in walk.two_hop(seeds, vertices, edges, near)[0].collect()} == {"c1": 2.3, "c2": 1.1}
 
 
+def test_fact_walk_by_brute_force(spark):
+    """150 questions (more than a mask and a row hold), several weights each, against a search of each question by itself."""
+    draw = random.Random(5)
+    edges = [(draw.randrange(60), draw.randrange(60), "r", draw.choice([None, f"c{draw.randrange(25)}"])) for _ in range(75)]
+    mentions = [(f"c{draw.randrange(25)}", draw.randrange(60)) for _ in range(50)]
+    seeds = sorted({(q, draw.randrange(64), draw.choice([1.0, 0.7, 0.25])) for q in range(150) for _ in range(draw.randrange(1, 5))})
+    near, share = defaultdict(set), defaultdict(float)
+    for a, b, _, c in edges:
+        near[a].add(b)
+        near[b].add(a)
+        for uid in (a, b):
+            if c is not None:
+                share[uid, c] += 0.5
+    for c, uid in set(mentions):
+        share[uid, c] += 1.0
+    expect: dict = defaultdict(float)
+    for q in range(150):
+        frontier, met = {(u, w) for k, u, w in seeds if k == q}, set()
+        for hop in range(4):
+            met |= {u for u, _ in frontier}
+            for u, w in frontier:
+                for (uid, c), x in share.items():
+                    if uid == u:
+                        expect[q, c] += w * 0.5**hop * x
+            frontier = {(v, w) for u, w in frontier for v in near[u] if v not in met}
+    got = walk.fact_walk(
+        spark.createDataFrame(seeds, "q_id long, uid long, weight double"),
+        spark.createDataFrame(mentions, "chunk_id string, uid long"),
+        spark.createDataFrame(edges, "src long, dst long, relation string, source_chunk string"),
+        max_hops=4,
+        top_chunks=None,
+    ).collect()
+    assert {(r["q_id"], r["chunk_id"]): r["score"] for r in got} == pytest.approx(expect, abs=2e-6)
+
+
 def test_beam_keeps_the_likest(spark):
     edges = spark.createDataFrame([(0, i, "r", f"c{i}") for i in range(1, 9)], "src long, dst long, relation string, source_chunk string")
     mentions = spark.createDataFrame([("c0", 0)], "chunk_id string, uid long")
