@@ -265,6 +265,18 @@ def test_chunks_and_blocks_are_crossed(spark, monkeypatch):
     assert sorted((r["doc_id"], bytes(r["kept"])) for r in out.collect()) == brute
 
 
+def test_documents_are_dealt_out_once(spark, monkeypatch):
+    """Disk: one plan with one exchange of the texts, and no copy in the shared folder beside the shuffles of a query that has ended."""
+    rows = [(i, prose(i % 7, 60) + prose(i, 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "written", lambda df, what: pytest.fail(f"{what} is written"))
+    got = suffix.exact_substrings(docs)
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in got.collect()) == brute_substrings(rows, 50)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 3 and sum("ReusedExchange" in x for x in dealt) == 2
+
+
 def test_loser_tree_orders_and_knows_prefixes():
     r = random.Random(4)
     runs = []

@@ -9,7 +9,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    hashes, one for each gram of a chunk, go out as differences, and one bit for each comes back.
 3. Each chunk of a bucket sorts what is left into runs, front-coded (length of the prefix shared with the one before, then
    the rest), one run for each range of gram hashes.  Equal suffixes of a run are one entry with its least and largest doc_id; where
-   they stand stays with the bucket.
+   they stand is not sent, the bucket sorts again what is told.
 4. A range merges its runs with a loser tree whose nodes keep the prefix length they share with the last
    winner.  Unequal lengths decide a match without reading a byte; equal ones compare from there on.
    Neighbours in the merged order that share the gram form a group; the strings of a group find the least
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -336,33 +337,38 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         masks = [np.packbits(x).tobytes() for x in np.split(twice, edges)]
         return table.drop_columns("block").append_column("mask", pa.array(masks, pa.binary()))
 
+    def bits_of(masks: pa.Table) -> dict[tuple[int, int], bytes]:
+        return {(c, p): m for c, p, m in zip(*(masks.column(x).to_pylist() for x in ("chunk", "part", "mask")), strict=True)}
+
+    def entries(texts: list[bytes], c: int, bits: dict, only=None):
+        """(part, keys, shared, first of each entry's places, where) of a chunk, always the same: where they stand is made again for what comes back."""
+        chunk = Chunk(texts, length)
+        number = np.cumsum(chunk.new) - 1
+        for p, s, e in chunk.parts(n):
+            if only is not None and (c, p) not in only:
+                continue
+            again = np.unpackbits(np.frombuffer(bits[c, p], np.uint8)).astype(bool)
+            at = s + np.flatnonzero(again[number[s:e] - number[s]])
+            if not len(at):
+                continue
+            key = chunk.keys(at)
+            order = np.argsort(key.view(f"S{width}").reshape(-1), kind="stable")
+            key, at = key[order], at[order]
+            shared = front_code(key)
+            new = shared < width
+            new[0] = True
+            doc, edge = chunk.doc[at], np.flatnonzero(new)
+            yield p, key[new], shared[new], edge, (np.diff(np.append(edge, len(at))), (chunk.last[at] - chunk.first[at] + 1)[edge], doc, chunk.first[at] - chunk.base[doc])
+
     def runs(_, table, masks):
         texts, order_value, _ = ordered(table)
         bucket = table.column("bucket")[0].as_py() if len(table) else 0
-        bits = {(c, p): m for c, p, m in zip(*(masks.column(x).to_pylist() for x in ("chunk", "part", "mask")), strict=True)}
-        rows = []
+        bits, rows = bits_of(masks), []
         for c, (a, b) in enumerate(chunked(texts)):
-            chunk = Chunk(texts[a:b], length)
-            number = np.cumsum(chunk.new) - 1
-            for p, s, e in chunk.parts(n):
-                again = np.unpackbits(np.frombuffer(bits[c, p], np.uint8)).astype(bool)
-                at = s + np.flatnonzero(again[number[s:e] - number[s]])
-                if not len(at):
-                    continue
-                key = chunk.keys(at)
-                order = np.argsort(key.view(f"S{width}").reshape(-1), kind="stable")
-                key, at = key[order], at[order]
-                shared = front_code(key)
-                new = shared < width
-                new[0] = True
-                key, shared = key[new], shared[new]
-                doc, edge = chunk.doc[at], np.flatnonzero(new)
-                value = order_value[a:b][doc]
-                rest = key[np.arange(width) >= shared[:, None]]
-                run = common.pack(shared, rest, np.minimum.reduceat(value, edge), np.maximum.reduceat(value, edge))
-                where = common.pack(np.diff(np.append(edge, len(at))).astype(np.uint32), (chunk.last[at] - chunk.first[at] + 1)[edge].astype(np.uint8), doc.astype(np.uint32), (chunk.first[at] - chunk.base[doc]).astype(np.uint32))
-                rows.append((p, bucket, c, run, where))
-        return _table(rows, part=pa.int32(), bucket=pa.int32(), chunk=pa.int32(), run=pa.binary(), places=pa.binary())
+            for p, key, shared, edge, where in entries(texts[a:b], c, bits):
+                rest, value = key[np.arange(width) >= shared[:, None]], order_value[a:b][where[2]]
+                rows.append((p, bucket, c, common.pack(shared, rest, np.minimum.reduceat(value, edge), np.maximum.reduceat(value, edge))))
+        return _table(rows, part=pa.int32(), bucket=pa.int32(), chunk=pa.int32(), run=pa.binary())
 
     def merged(_, table):
         decoded = [common.unpack(x) for x in table.column("run").to_pylist()]
@@ -388,11 +394,11 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
             out.append((bucket[r], chunk[r], part[r], common.pack(place[own].astype(np.uint32), alone[own].astype(np.uint8), low)))
         return _table(out, bucket=pa.int32(), chunk=pa.int32(), part=pa.int32(), block=pa.binary())
 
-    def intervals(told: bytes, places: bytes, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def intervals(told: bytes, places: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, start, end) in a chunk, of what a range told it."""
         entry, alone, low = common.unpack(told)
-        count, n_strings, doc, first = common.unpack(places)
-        count, entry = count.astype(np.int64), entry.astype(np.int64)
+        count, n_strings, doc, first = places
+        entry = entry.astype(np.int64)
         begin = np.cumsum(count) - count
         m = np.where(alone == 1, 1, n_strings[entry]).astype(np.int64)
         offset = np.cumsum(m) - m
@@ -415,18 +421,14 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def removed(_, table, blocks):
         texts, order_value, ids = ordered(table)
-        told: dict[tuple, bytes] = {}
-        where: dict[tuple, bytes] = {}
-        for c, p, x, y in zip(*(blocks.column(k).to_pylist() for k in ("chunk", "part", "block", "places")), strict=True):
-            (told if x is not None else where)[c, p] = x if x is not None else y
-        gone: dict[int, list] = {}
-        for c, p in sorted(told):
-            gone.setdefault(c, []).append((told[c, p], where[c, p]))
+        came = blocks.column("mask").is_null()
+        told = {(c, p): x for c, p, x in zip(*(blocks.filter(came).column(k).to_pylist() for k in ("chunk", "part", "block")), strict=True)}
+        bits, hit = bits_of(blocks.filter(pc.invert(came))), {c for c, _ in told}
         spans, kept = [], []
         for c, (a, b) in enumerate(chunked(texts)):
             lengths = np.array([len(x) for x in texts[a:b]], np.int64)
             base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])  # one apart, so that runs of two documents never touch
-            found = [intervals(x, y, order_value[a:b]) for x, y in gone.get(c, [])]
+            found = [intervals(told[c, p], where, order_value[a:b]) for p, _, _, _, where in entries(texts[a:b], c, bits, told)] if c in hit else []
             doc, start, end = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *found, strict=True))
             start, end = united(base[doc] + start, base[doc] + end)
             owner = np.searchsorted(base, start, side="right") - 1
@@ -441,9 +443,9 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
 
     sent = common.grouped(held, "bucket", names, "bucket int, chunk int, part int, block binary")
     masks = common.grouped(sent, "part", repeated, "bucket int, chunk int, part int, mask binary")
-    sorted_runs = held.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(lambda k, a, b: runs(k, a, b), "part int, bucket int, chunk int, run binary, places binary")
-    sorted_runs = common.written(sorted_runs, "suffix-runs")  # read twice: the runs go to their ranges, the places back to their buckets
-    gone = common.grouped(sorted_runs.select("part", "bucket", "chunk", "run"), "part", merged, "bucket int, chunk int, part int, block binary")
-    back = gone.withColumn("places", F.lit(None).cast("binary")).unionByName(sorted_runs.select("bucket", "chunk", "part", F.lit(None).cast("binary").alias("block"), "places"))
+    # one plan: the documents are dealt out once for its three readings, and nothing that only the end of a query frees is held twice
+    sorted_runs = held.groupBy("bucket").cogroup(masks.groupBy("bucket")).applyInArrow(lambda k, a, b: runs(k, a, b), "part int, bucket int, chunk int, run binary")
+    gone = common.grouped(sorted_runs, "part", merged, "bucket int, chunk int, part int, block binary")
+    back = gone.withColumn("mask", F.lit(None).cast("binary")).unionByName(masks.withColumn("block", F.lit(None).cast("binary")))
     out = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     return held.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(lambda k, a, b: removed(k, a, b), out)
