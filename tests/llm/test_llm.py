@@ -562,6 +562,47 @@ def test_a_copy_of_a_late_variant(spark):
     assert all(len(got[d] & copy) < windows.SHINGLE and len(got[d] - copy) == 80 for d, copy in copies.items()), "less than a shingle may stay at an end"
 
 
+def test_a_copy_of_the_last_of_many_variants(spark):
+    """More windows than FAMILY share each value, their surroundings too are those of earlier variants, none of which is like the copy but the last."""
+    r = random.Random(9)
+    rows, copies = [], {}
+    for n in range(6):
+        w = iter([f"w{n}x{j}" for j in range(10**5)])
+        some = lambda k: [next(w) for _ in range(k)]  # noqa: B023, E731
+        passage, options = some(90), [some(2) for _ in range(8)]
+        chosen: list[list[int]] = []
+        while len(chosen) < 80:
+            pick = [r.randrange(2) for _ in range(7)]
+            pick.append(sum(pick) % 2)  # two variants differ in two places at least
+            if pick not in chosen:
+                chosen.append(pick)
+        variants = [[options[i // 11][c[i // 11]] if i % 11 == 5 and i // 11 < 8 else x for i, x in enumerate(passage)] for c in chosen]
+        for v in variants:
+            rows.append((len(rows), " ".join(some(30) + v + some(30))))
+        rows.append((len(rows), " ".join(some(40) + variants[-1] + some(40))))
+        copies[rows[-1][0]] = set(variants[-1])
+    got = {x["doc_id"]: set(bytes(x["kept"]).decode().split()) for x in windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[d] & copy) < windows.SHINGLE and len(got[d] - copy) == 80 for d, copy in copies.items())
+
+
+def test_live_places_hold_every_similar_range():
+    """A range that is like one of another document is never ruled out by tokens that no other document holds."""
+    r = random.Random(6)
+    found = dead = 0
+    for _ in range(120):
+        here = [r.randrange(40) for _ in range(30)]
+        there = [x if r.random() < 0.85 else 100 + r.randrange(40) for x in here[5:25]]
+        t = windows.Tokens([])
+        t.flat, t.base = np.array(here + there, np.uint64), np.array([0, 30, 50])
+        lone = np.array([x not in there and x not in here[:i] for i, x in enumerate(here)] + [x not in here and x not in there[:i] for i, x in enumerate(there)])
+        live = t.live(lone, 6, 0.8, np.ones(50, bool), 0)
+        for a, b in windows.passages(t.flat[:30], t.flat[30:], 6, 0.8):
+            assert live[a : b + 1].all()
+            found += 1
+        dead += int((~live).sum())
+    assert found and dead
+
+
 def test_recall_of_copies_beside_families(spark):
     """Passages in 1, 5, 20 or 60 variants, and a last copy, changed in one word, of any of them: at least nine of ten copies go, nothing else."""
     r = random.Random(21)
