@@ -603,6 +603,78 @@ def test_live_places_hold_every_similar_range():
     assert found and dead
 
 
+def test_repeats_of_lone_tokens_make_no_place_live():
+    """A line that two documents share, beside runs and repeated lines of one document's own: each distinct token counts once."""
+    line = " ".join(f"w{i}" for i in range(13))
+    own = [" ".join([f"run{i}"] * 60) for i in range(4)]
+    again = [" ".join(f"x{i}y{j}" for j in range(12)) for i in range(2)]
+    texts = [" ".join([line, *own]), " ".join([*own[:1], line, *(again * 5)]).replace("run", "other"), " ".join(f"z{i}" for i in range(60)) + " " + line]
+    t = windows.Tokens([x.encode() for x in texts])
+    _, at, two, first, _ = t.names()
+    lone = np.zeros(len(t.flat), bool)
+    lone[at[~two]] = True
+    whole = np.ones(len(t.flat), bool)
+    assert not t.live(lone, 46, 0.8, whole, 5, lone[first] & ~lone).any()
+
+
+def test_live_places_hold_every_similar_range_of_repeated_tokens():
+    r = random.Random(16)
+    found = dead = 0
+    for _ in range(300):
+        draw = lambda n, low: [x for x in (low + r.randrange(30) for _ in range(n)) for _ in range(r.choice((1, 1, 1, 4)))]
+        here = draw(14, 0) + draw(6, 50)
+        there = [x if r.random() < 0.9 else 100 + r.randrange(40) for x in here[5:25]]
+        t = windows.Tokens([])
+        n = len(here)
+        t.flat, t.base = np.array(here + there, np.uint64), np.array([0, n, n + len(there)])
+        _, at, two, first, ahead = t.names()
+        assert all((a < 0 and f == i) or (t.flat[a] == t.flat[i] == t.flat[f] and f <= a < i) for i, (a, f) in enumerate(zip(ahead.tolist(), first.tolist(), strict=True)))
+        lone = np.zeros(len(t.flat), bool)
+        lone[at[~two]] = True
+        live = t.live(lone, 6, 0.8, np.ones(len(t.flat), bool), 0, lone[first] & ~lone)
+        for a, b in windows.passages(t.flat[:n], t.flat[n:], 6, 0.8):
+            assert live[a : b + 1].all()
+            found += 1
+        dead += int((~live).sum())
+    assert found and dead
+
+
+def test_interval_join():
+    r = np.random.default_rng(4)
+    found = 0
+    for _ in range(300):
+        m = int(r.integers(1, 30))
+        pair, function, left, there = np.sort(r.integers(0, 3, m)), r.integers(0, 5, m), r.integers(0, 40, m), r.integers(0, 40, m)
+        right, there_right = left + r.integers(0, 20, m), there + r.integers(0, 20, m)
+        expect = set()
+        for p in set(pair.tolist()):
+            ok = [len({f for q, f, a, b in zip(pair, function, left, right, strict=True) if q == p and a <= x <= b}) >= 2 for x in range(62)]
+            for x in range(61):
+                if ok[x] and not (x and ok[x - 1]):
+                    y = next(z for z in range(x, 61) if not ok[z + 1])
+                    meets = (pair == p) & (left <= y) & (right >= x)
+                    expect.add((p, x, y, int(there[meets].min()), int(there_right[meets].max())))
+        got = windows.joined(pair, function, left, right, there, there_right, 2)
+        assert sorted(map(tuple, got.tolist())) == sorted(expect)
+        found += len(expect)
+    assert found
+
+
+def test_passages_with_places_that_count():
+    """Asking for ranges that hold some marked places gives those of all ranges that do."""
+    r = np.random.default_rng(12)
+    found = 0
+    for turn in range(400):
+        here = r.integers(0, int(r.integers(4, 60)), 30).astype(np.uint64)
+        here = np.repeat(here, r.integers(1, 5, 30))[:40] if turn % 3 == 0 else here
+        there = np.where(r.random(len(here)) < 0.85, here, r.integers(0, 60, len(here)).astype(np.uint64))
+        whole, fresh = r.random(len(here)) < r.random(), int(r.integers(0, 6))
+        expect = [(a, b) for a, b in windows.passages(here, there, 6, 0.8) if whole[a : b + 1].sum() >= fresh]
+        assert windows.passages(here, there, 6, 0.8, whole, fresh) == expect
+        found += len(expect)
+    assert found
+
+
 def test_recall_of_copies_beside_families(spark):
     """Passages in 1, 5, 20 or 60 variants, and a last copy, changed in one word, of any of them: at least nine of ten copies go, nothing else."""
     r = random.Random(21)
