@@ -639,6 +639,14 @@ def test_live_places_hold_every_similar_range_of_repeated_tokens():
     assert found and dead
 
 
+def test_token_names_take_40_bits():
+    """Names of all tokens are shuffled, so their width is what they cost on disk."""
+    t = windows.Tokens([" ".join(f"w{i}" for i in range(50_000)).encode()])
+    name = t.names()[0]
+    assert len(name) == 49_996 and (np.diff(name.astype(np.int64)) > 0).all() and name.max() < 2**48
+    assert len(common.pack(np.diff(name, prepend=np.uint64(0)))) < 4 * len(name)
+
+
 def test_interval_join():
     r = np.random.default_rng(4)
     found = 0
