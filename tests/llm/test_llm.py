@@ -647,6 +647,14 @@ def test_token_names_take_40_bits():
     assert len(common.pack(np.diff(name, prepend=np.uint64(0)))) < 4 * len(name)
 
 
+def test_close_blocks_are_smaller_and_read_alike():
+    r = random.Random(2)
+    base = [f"w{r.randrange(5000)}" for _ in range(400)]
+    raw = " ".join(" ".join(f"x{r.randrange(10**6)}" if r.random() < 0.05 else w for w in base) for _ in range(200)).encode()
+    plain, close = (common.pack(np.arange(9), np.frombuffer(raw, np.uint8), close=x) for x in (False, True))
+    assert len(close) < 0.9 * len(plain) and all((a == b).all() for a, b in zip(common.unpack(plain), common.unpack(close), strict=True))
+
+
 def test_interval_join():
     r = np.random.default_rng(4)
     found = 0
