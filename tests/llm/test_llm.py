@@ -294,6 +294,22 @@ def test_loser_tree_orders_and_knows_prefixes():
         assert shared[i] == same
 
 
+def test_ranges_are_merged_a_block_at_a_time(spark, monkeypatch):
+    """Memory of one task: blocks end where the gram changes, and entries beyond one of them are not at hand."""
+    r = random.Random(4)
+    keys = [sorted({bytes(r.choice(b"ab") for _ in range(24)) + b"\xff" for _ in range(200)}) for _ in range(3)]
+    runs = [(k, suffix.front_code(np.frombuffer(b"".join(k), np.uint8).reshape(-1, 25)).tolist()) for k in keys]
+    blocks = list(suffix.merged_blocks([(iter(k), s) for k, s in runs], 20))
+    assert len(blocks) > 10 and max(len(x[3]) for x in blocks) < 60
+    assert [k for x in blocks for k in x[3]] == sorted(k for own in keys for k in own) and all(x[2][0] < suffix.GRAM for x in blocks)
+    for i, whole in enumerate(suffix.merge_runs(runs)):
+        assert (np.concatenate([x[i] for x in blocks]) == whole).all()
+    rows = [(i, prose(i % 7, 60) + prose(i, 20)) for i in range(40)]
+    monkeypatch.setattr(suffix, "ENTRIES", 3)
+    got = suffix.exact_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x["doc_id"], bytes(x["kept"])) for x in got.collect()) == brute_substrings(rows, 50)
+
+
 # 5
 
 

@@ -27,6 +27,8 @@ gives an empty result; further columns are ignored.  Strings are UTF-8 bytes, so
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 16  # bytes that choose and name a suffix
-BUCKET = 64 << 20  # bytes of text for each pair of buckets
+BUCKET = 32 << 20  # bytes of text for each pair of buckets
 CHUNK = 16 << 20  # bytes of text that are held, sorted and sent at once
 BLOCK = 1 << 15  # bytes that are hashed at once, so that what is at hand stays in a core's cache
+ENTRIES = 1 << 15  # entries of a range that are merged before their strings are told apart; groups are not parted
 _LAST = np.iinfo(np.int64).max
 _BYTE = common.mixed(np.arange(256, dtype=np.uint64), 1)
 
@@ -147,7 +150,14 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, place in it, prefix shared with the entry before) in merged order, of sorted front-coded runs.
+    """(run, place in it, prefix shared with the entry before) in merged order, of sorted front-coded runs."""
+    run, place, shared, _ = next(merged_blocks(runs, None))
+    return run, place, shared
+
+
+def merged_blocks(runs: list[tuple[Iterable[bytes], Iterable[int]]], most: int | None):
+    """(run, place in it, prefix shared with the entry before, keys) in merged order, of sorted front-coded runs; a block ends where the gram changes, after
+    `most` entries or more.
 
     A loser tree: each inner node keeps the loser of its match and how long a prefix the loser shares with
     the winner that passed.  Once a winner is out, all lengths on its path refer to it, so of two
@@ -178,10 +188,26 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
 
     paths = [[(leaf + k) >> i for i in range(1, k.bit_length())] for leaf in range(k)]
     winner, have = build(1) if k > 1 else (0, have_of[0])
-    out_run, out_shared = [], []
+    out_run, out_shared, keys, passed = [], [], [], np.zeros(k, np.int64)
+
+    def block():
+        run = np.array(out_run, np.int64)
+        order = np.argsort(run, kind="stable")
+        size = np.bincount(run, minlength=k) if len(run) else np.zeros(k, np.int64)
+        place = np.empty(len(run), np.int64)
+        place[order] = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        place += passed[run]
+        passed[:] += size
+        return run, place, np.array(out_shared, np.int64), keys
+
+    most = np.inf if most is None else most
     while have >= 0:
+        if have < GRAM and len(keys) >= most:
+            yield block()
+            out_run, out_shared, keys = [], [], []
         out_run.append(winner)
         out_shared.append(have)
+        keys.append(head[winner])
         head[winner], have = next(following[winner], over)
         for node in paths[winner]:
             other = depth[node]
@@ -196,12 +222,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[np.ndarray, n
                 depth[node] = both = common_prefix(x, y, have)
                 if both < len(x) and x[both] > y[both]:
                     loser[node], winner = winner, rival
-    run = np.array(out_run, np.int64)
-    order = np.argsort(run, kind="stable")
-    size = np.bincount(run, minlength=k) if len(run) else np.zeros(k, np.int64)
-    place = np.empty(len(run), np.int64)
-    place[order] = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    return run, place, np.array(out_shared, np.int64)
+    yield block()
 
 
 def front_code(rows: np.ndarray) -> np.ndarray:
@@ -214,13 +235,12 @@ def front_decode(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray
     return np.frombuffer(b"".join(front_keys(shared, rest, width)), np.uint8).reshape(-1, width)
 
 
-def front_keys(shared: np.ndarray, rest: np.ndarray, width: int) -> list[bytes]:
-    raw, at, now, out = rest.tobytes(), 0, b"", []
+def front_keys(shared: np.ndarray, rest: np.ndarray, width: int) -> Iterator[bytes]:
+    raw, at, now = memoryview(rest), 0, b""
     for s in shared.tolist():
         now = now[:s] + raw[at : at + width - s]
         at += width - s
-        out.append(now)
-    return out
+        yield now
 
 
 def lowest(rows: np.ndarray, shared: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -374,27 +394,32 @@ def exact_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         return _table(rows, part=pa.int32(), bucket=pa.int32(), chunk=pa.int32(), run=pa.binary())
 
     def merged(_, table):
+        """What the entries of a range are told, a block of neighbouring groups at a time: keys and strings of one block are at hand, and numbers for the rest."""
         decoded = [common.unpack(x) for x in table.column("run").to_pylist()]
-        keys = [front_keys(x[0], x[1], width) for x in decoded]
-        run, place, shared = merge_runs([(k, x[0].tolist()) for k, x in zip(keys, decoded, strict=True)])
-        ahead = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-        at = ahead[run] + place
-        rows = np.frombuffer(b"".join(map(b"".join, keys)), np.uint8).reshape(-1, width)[at]
-        del keys
-        least, most = (np.concatenate([x[i] for x in decoded])[at] for i in (2, 3))
-        alone, first, numbers = lowest(rows, shared, least, length)
-        size = np.where(alone, 1, width - 1 - (rows == 255)[:, ::-1].argmax(axis=1) - 1 - length + 1)
-        # an entry all of whose documents come first for all its strings has nothing to be told
-        later = np.minimum.reduceat(numbers[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())], np.cumsum(size) - size) < most
-        order = np.flatnonzero(later)[np.argsort(run[later], kind="stable")]
+        ahead = np.concatenate([[0], np.cumsum([len(x[0]) for x in decoded])])
+        least, most = (np.concatenate([x[i] for x in decoded]) for i in (2, 3))
+        found = []
+        for run, place, shared, keys in merged_blocks([(front_keys(x[0], x[1], width), x[0].tolist()) for x in decoded], ENTRIES):
+            at = ahead[run] + place
+            rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width)
+            alone, first, numbers = lowest(rows, shared, least[at], length)
+            size = np.where(alone, 1, width - 1 - (rows == 255)[:, ::-1].argmax(axis=1) - 1 - length + 1)
+            # an entry all of whose documents come first for all its strings has nothing to be told
+            own = numbers[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            later = (np.minimum.reduceat(own, np.cumsum(size) - size) if len(size) else own) < most[at]
+            found.append((run[later].astype(np.int32), place[later].astype(np.uint32), alone[later], size[later].astype(np.int32), own[np.repeat(later, size)]))
+        del decoded, least, most
+        run, place, alone, size, low = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order, start = np.argsort(run, kind="stable"), np.cumsum(size, dtype=np.int64) - size
         bucket, chunk = table.column("bucket").to_pylist(), table.column("chunk").to_pylist()
         part = table.column("part").to_pylist()
         out = []
-        for r, s, e in common.cut(run[order], len(decoded)):
+        for r, s, e in common.cut(run[order], len(bucket)):
             own = order[s:e]
             m = size[own]
-            low = numbers[np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-            out.append((bucket[r], chunk[r], part[r], common.pack(place[own].astype(np.uint32), alone[own].astype(np.uint8), low)))
+            of = np.repeat(start[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            out.append((bucket[r], chunk[r], part[r], common.pack(place[own], alone[own].astype(np.uint8), low[of])))
         return _table(out, bucket=pa.int32(), chunk=pa.int32(), part=pa.int32(), block=pa.binary())
 
     def intervals(told: bytes, places: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
