@@ -601,6 +601,25 @@ def test_a_copy_of_the_last_of_many_variants(spark):
     assert all(len(got[d] & copy) < windows.SHINGLE and len(got[d] - copy) == 80 for d, copy in copies.items())
 
 
+def test_few_ties_and_passages_at_a_time(spark, monkeypatch):
+    """Memory of one task: the bounds of what is unpacked at once don't change what goes."""
+    r = random.Random(10)
+    rows = []
+    for n in range(4):
+        w = iter([f"w{n}x{j}" for j in range(10**4)])
+        some = lambda k: [next(w) for _ in range(k)]  # noqa: B023, E731
+        passage = some(70)
+        for _ in range(30):
+            rows.append((len(rows), " ".join(some(20) + [next(w) if r.random() < 0.03 else x for x in passage] + some(20))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    read = lambda: sorted((x["doc_id"], bytes(x["kept"])) for x in windows.near_passages(docs).collect())
+    whole = read()
+    assert sum(len(k.split()) < 80 for _, k in whole) > 60
+    monkeypatch.setattr(windows, "ROOM", 3000)
+    monkeypatch.setattr(windows, "PAIRS", 50)
+    assert read() == whole
+
+
 def test_live_places_hold_every_similar_range():
     """A range that is like one of another document is never ruled out by tokens that no other document holds."""
     r = random.Random(6)
