@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegraph.functions import metrics, parsing, text, vector
-from tidegraph.operators import alignment, cache, evaluate, fusion, graph, ranking, store, vector_search, walk
+from tidegraph.operators import alignment, cache, evaluate, fusion, graph, pairs, ranking, store, vector_search, walk
 from tidegraph.sources import chunking, datasets
 
 
@@ -338,3 +338,26 @@ def test_top_k_ties_go_to_the_smaller_key(spark):
 def test_hashed_embedding_is_normalised(spark):
     v = one(spark, vector.hashed_embedding(F.col("x")), "x string", "a b b c")
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and sum(one(spark, vector.hashed_embedding(F.col("x")), "x string", "")) == 0
+
+
+def test_pairs_by_value(spark, monkeypatch):
+    """A score is worked out once for two values of a group, also where a group is dealt out in blocks; null groups have no pairs, null values have."""
+    draw = random.Random(3)
+    rows = [(k, draw.choice(["x", "yy", "zzz", None]), draw.choice(["g", "h", None])) for k in range(120)]
+    table = spark.createDataFrame(rows, "k long, v string, g string")
+    expect = sorted((a, b, len(v or "") * 10 + len(w or "")) for a, v, g in rows for b, w, h in rows if g is not None and g == h and a < b)
+    size = lambda v: F.length(F.coalesce(v, F.lit("")))
+    done = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def score(x, y):
+        done.add(1)
+        return x * 10 + y
+
+    got = pairs.valued_pairs(table, "k", "v", ["g"], size, score, "s")
+    assert sorted(map(tuple, got.collect())) == expect and done.value <= 2 * 16
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    assert sorted(map(tuple, got.collect())) == expect
+    assert sorted(map(tuple, pairs.valued_pairs(table, "k", "v", ["g"], size, lambda x, y: x * 10 + y, "s").collect())) == expect
+    kept = pairs.valued_pairs(table, "k", "v", ["g"], size, lambda x, y: x == y, "s", keep=True)
+    assert sorted((r["a"], r["b"]) for r in kept.collect()) == [(a, b) for a, b, s in expect if s // 10 == s % 10]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -84,10 +85,15 @@ def alias_by_rules(a: Column, b: Column) -> Column:
     return F.coalesce(some & ((joined_a == joined_b) | (F.array_join(s, " ") == initials) | prefixes | single | ordered), F.lit(False))
 
 
+@lru_cache(1 << 16)
+def _ratio(x: str, y: str) -> float:
+    return SequenceMatcher(None, x, y).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matched characters over all of them, twice (difflib); 0 where either is null. Arrow batches: no expression computes it."""
-    return pd.Series([0.0 if not x or not y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([0.0 if not x or not y else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def answer_form(c: Column) -> Column:

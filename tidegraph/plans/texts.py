@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing, text
-from ..operators import alignment, evaluate, store
+from ..operators import alignment, evaluate, pairs, store
 from ..sources import chunking, datasets
 from . import fixtures as X
 from .registry import query, table
@@ -30,10 +30,8 @@ def tokenize_name(spark, d):
 _PAIRS = """SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_type AS x, b.p_type AS y, a.p_name AS an, b.p_name AS bn FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"""
 
 
-def _part_pairs(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_name", "p_brand", "p_size")
-    a, b = p.toDF("a", "x", "an", "brand", "size"), p.toDF("b", "y", "bn", "brand", "size")
-    return a.join(b, ["brand", "size"]).where("a < b")
+def _part_pairs(spark, d, value, prepare, score, out, **how):
+    return pairs.valued_pairs(table(spark, d, "part"), "p_partkey", value, ["p_brand", "p_size"], prepare, score, out, **how)
 
 
 _J = lambda x, y: f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({x}, {y})) / CAST(len(list_distinct(list_concat({x}, {y}))) AS DOUBLE) END)"
@@ -41,13 +39,13 @@ _J = lambda x, y: f"(CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE ELS
 
 @query("jaccard_desc", f"SELECT a, b, round({_J('tx', 'ty')}, 6) AS j FROM (SELECT a, b, {_DTOK('x')} AS tx, {_DTOK('y')} AS ty FROM ({_PAIRS}))")
 def jaccard_desc(spark, d):
-    return _part_pairs(spark, d).select("a", "b", F.round(text.jaccard(text.desc_tokens(F.col("x")), text.desc_tokens(F.col("y"))), 6).alias("j"))
+    return _part_pairs(spark, d, "p_type", text.desc_tokens, lambda x, y: F.round(text.jaccard(x, y), 6), "j")
 
 
 @query("desc_similarity", f"""SELECT a, b, round(CASE WHEN coalesce(x, '') = '' OR coalesce(y, '') = '' THEN 0.0 WHEN j < 0.15::DOUBLE THEN j WHEN j > 0.65::DOUBLE THEN 0.5 * j + 0.5 ELSE 0.5 * j + 0.5 * 0.8::DOUBLE END, 6) AS sim FROM (
   SELECT a, b, x, y, {_J('tx', 'ty')} AS j FROM (SELECT a, b, x, y, {_DTOK('x')} AS tx, {_DTOK('y')} AS ty FROM ({_PAIRS})))""")
 def desc_similarity(spark, d):
-    return _part_pairs(spark, d).select("a", "b", F.round(text.desc_similarity(F.col("x"), F.col("y"), F.lit(0.8)), 6).alias("sim"))
+    return _part_pairs(spark, d, "p_type", lambda v: v, lambda x, y: F.round(text.desc_similarity(x, y, F.lit(0.8)), 6), "sim")
 
 
 def _alias(a: str, b: str) -> str:
@@ -61,8 +59,7 @@ def _alias(a: str, b: str) -> str:
 
 @query("alias_pairs", f"""SELECT a, b FROM (SELECT a, b, {_TOK('an')} AS tx, {_TOK('bn')} AS ty FROM ({_PAIRS})) WHERE {_alias('tx', 'ty')}""")
 def alias_pairs(spark, d):
-    p = _part_pairs(spark, d)
-    return p.where(text.alias_by_rules(text.name_tokens(F.col("an")), text.name_tokens(F.col("bn")))).select("a", "b")
+    return _part_pairs(spark, d, "p_name", text.name_tokens, text.alias_by_rules, "alias", keep=True).select("a", "b")
 
 
 _STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -99,7 +96,7 @@ _ID = lambda *c: f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(c)})), 1, 1
 
 @query("edit_ratio")
 def edit_ratio(spark, d):
-    return _part_pairs(spark, d).select("a", "b", F.round(text.edit_ratio(F.col("an"), F.col("bn")), 6).alias("ratio"))
+    return _part_pairs(spark, d, "p_name", lambda v: v, lambda x, y: F.round(text.edit_ratio(x, y), 6), "ratio")
 
 
 @query("exact_dedup", f"""SELECT {_ID('name', 'type', '"desc"')} AS uid, count(*) AS n FROM ({_TRIPLES}) GROUP BY ALL""")
