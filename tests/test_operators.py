@@ -361,3 +361,10 @@ def test_pairs_by_value(spark, monkeypatch):
     assert sorted(map(tuple, pairs.valued_pairs(table, "k", "v", ["g"], size, lambda x, y: x * 10 + y, "s").collect())) == expect
     kept = pairs.valued_pairs(table, "k", "v", ["g"], size, lambda x, y: x == y, "s", keep=True)
     assert sorted((r["a"], r["b"]) for r in kept.collect()) == [(a, b) for a, b, s in expect if s // 10 == s % 10]
+
+
+def test_fact_weights_that_add_up_to_nothing(spark):
+    facts = spark.createDataFrame([(1, 2, 3, 0.0), (2, 2, 3, 0.5)], "q_id long, subj_uid long, obj_uid long, score double")
+    nodes = spark.createDataFrame([(2, 1), (3, 1)], "uid long, ref_count long")
+    got = {(r["q_id"], r["uid"]): r["weight"] for r in ranking.fact_weights(facts, nodes).collect()}
+    assert got[2, 2] == got[2, 3] == 0.5 and all(got[1, u] != got[1, u] for u in (2, 3)), "0 / 0 is no number, as in the SQL"

@@ -26,7 +26,9 @@ def fact_weights(facts: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     ends = facts.select("q_id", F.col("subj_uid").alias("uid"), "score").unionAll(facts.select("q_id", F.col("obj_uid").alias("uid"), "score"))
     total = ends.where(F.col("uid").isNotNull() & (F.col("uid") != 0)).groupBy("q_id", "uid").agg(F.sum("score").alias("total"))
     best = ranked(total.join(nodes.select("uid", "ref_count"), "uid").select("q_id", "uid", F.round(F.col("total") / F.greatest("ref_count", F.lit(1)), 6).alias("score")), "q_id", [F.desc("score"), F.col("uid")], k)
-    return best.withColumn("weight", F.round(F.col("score") / F.sum("score").over(Window.partitionBy("q_id")), 6))
+    # where a question's scores add up to 0, shares are what floating point makes of it: 0 / 0 is no number
+    whole = F.sum("score").over(Window.partitionBy("q_id"))
+    return best.withColumn("weight", F.round(F.when(whole == 0, F.col("score") * float("inf")).otherwise(F.col("score") / F.nullif(whole, F.lit(0.0))), 6))
 
 
 def minmax(df: DataFrame, value: str, out: str) -> DataFrame:
