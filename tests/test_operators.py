@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import metrics, parsing, text, vector
 from tidegraph.operators import alignment, cache, evaluate, fusion, graph, pairs, ranking, store, vector_search, walk
+from tidegraph.plans import fixtures
 from tidegraph.sources import chunking, datasets
 
 
@@ -368,3 +369,46 @@ def test_fact_weights_that_add_up_to_nothing(spark):
     nodes = spark.createDataFrame([(2, 1), (3, 1)], "uid long, ref_count long")
     got = {(r["q_id"], r["uid"]): r["weight"] for r in ranking.fact_weights(facts, nodes).collect()}
     assert got[2, 2] == got[2, 3] == 0.5 and all(got[1, u] != got[1, u] for u in (2, 3)), "0 / 0 is no number, as in the SQL"
+
+
+def exchanges(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning" in x]
+
+
+def test_what_is_made_of_a_chunk_stays_where_it_is(spark, tmp_path):
+    """Shuffle: orders and line items are dealt out by chunk, and edges, mentions and what is made of both for a chunk are not dealt out again."""
+    draw = random.Random(2)
+    spark.createDataFrame([(i, draw.randrange(5)) for i in range(20)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(draw.randrange(20), draw.randrange(6), draw.randrange(3)) for _ in range(90)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    e, m = fixtures.kg_edges(spark, str(tmp_path)), fixtures.kg_mentions(spark, str(tmp_path))
+    assert all("source_chunk" in x for x in exchanges(e)) and len(exchanges(e)) == 2
+    assert all("source_chunk" in x or "chunk_id" in x for x in exchanges(graph.merge_edges(e.unionAll(e))))
+    assert e.count() == e.distinct().count() and fixtures.kg_edges(spark, str(tmp_path), repeated=True).distinct().exceptAll(e).count() == 0
+    assert {tuple(r) for r in m.collect()} == {(r["source_chunk"], u) for r in e.collect() for u in (r["src"], r["dst"])}
+
+
+def test_paths_of_few_or_many_nodes(spark, monkeypatch):
+    """A subject with `limit` short paths isn't followed further; nodes that are too many to be broadcast give the same."""
+    draw = random.Random(7)
+    edges = spark.createDataFrame([(draw.randrange(12), 20 + draw.randrange(9), draw.choice("rs")) for _ in range(60)] + [(99, 20, "r")], "src long, dst long, relation string")
+    seeds = spark.createDataFrame([(1,), (2,), (99,)], "uid long")
+    every = sorted(map(tuple, graph.paths(seeds, edges, 2).collect()))
+    expect = [x for u in (1, 2, 99) for x in sorted((x for x in every if x[0] == u), key=lambda x: (x[2], x[1]))[:3]]
+    assert {x[2] for x in expect if x[0] == 99} == {1, 2} and {x[2] for x in expect if x[0] == 1} == {1}
+    for few in (10**6, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        assert sorted(map(tuple, graph.paths(seeds, edges, 2, limit=3).collect())) == sorted(expect)
+
+
+def test_nodes_are_counted_apart(spark):
+    rows = [("c1", None, "", "t", "", 1), ("c2", None, "n", "", "", 2), ("", 5, "m", "t", "d", 3), ("c1", 5, "k", "t", "", 1), ("c1", 5, "k", "t", "", 1)]
+    got = {r["uid"]: tuple(r)[1:] for r in graph.merge_nodes(spark.createDataFrame(rows, "chunk_id string, uid long, name string, type string, desc string, seq long")).collect()}
+    assert got == {None: ("n", "t", "", ["c1", "c2"], 2), 5: ("k", "t", "d", ["c1"], 1)}
+
+
+def test_upsert_of_keys_alone_sorts_nothing(spark):
+    old, new = spark.createDataFrame([(1, "a")], "k long, r string"), spark.createDataFrame([(1, "a", 3), (2, "b", 1), (2, "b", 4)], "k long, r string, write_seq long")
+    got = store.upsert(old, new, ["k", "r"])
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (2, "b", 4)]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

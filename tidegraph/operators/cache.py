@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import both_ways, chunk_subgraph
+from .graph import among, both_ways, chunk_subgraph
 from .ranking import upper_median
 from .store import upsert
 
@@ -98,7 +98,7 @@ def write_subgraphs(chunks: DataFrame, mentions: DataFrame, edges: DataFrame, ve
 def entity_promotion(hits: DataFrame, edges: DataFrame, vertices: DataFrame, threshold: int = 3) -> tuple[DataFrame, DataFrame]:
     """Entities matched by at least `threshold` answered questions, hits(q_id, uid): their edges, and edges to neighbours that the persistent tier has."""
     chosen = hits.groupBy("uid").agg(F.count_distinct("q_id").alias("n")).where(F.col("n") >= threshold)
-    near = both_ways(edges).join(chosen.select(F.col("uid").alias("src")), "src", "left_semi")
+    near = both_ways(edges).join(among(chosen.select(F.col("uid").alias("src"))), "src", "left_semi")
     known = near.join(vertices.select(F.col("vid").alias("dst")).distinct(), "dst", "left_semi")
     return chosen, near.select("src", "dst", "relation").distinct().join(known.select("dst").distinct().withColumn("in_l2", F.lit(True)), "dst", "left").select("src", "dst", "relation", F.coalesce("in_l2", F.lit(False)).alias("in_l2"))
 

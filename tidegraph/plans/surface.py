@@ -68,7 +68,7 @@ def chunk_sink(spark, d):
 @query("triplet_export", X.with_(["kg_edges"], "SELECT DISTINCT src AS head, relation, dst AS tail FROM kg_edges"))
 def triplet_export(spark, d):
     at = _new(spark, "triplets")
-    store.export_triplets(X.kg_edges(spark, d), at)
+    store.export_triplets(X.kg_edges(spark, d, repeated=True), at)
     return datasets.read_json(spark, at, "head bigint, relation string, tail bigint", lines=True)
 
 
