@@ -412,3 +412,17 @@ def test_upsert_of_keys_alone_sorts_nothing(spark):
     got = store.upsert(old, new, ["k", "r"])
     assert sorted(map(tuple, got.collect())) == [(1, "a", 3), (2, "b", 4)]
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_walks_of_few_or_many_questions(spark, small_graph, monkeypatch):
+    """Edges are dealt out by node only where a frontier is too large to be broadcast; both ways give the same."""
+    mentions, edges, seeds, near = small_graph
+    dealt = []
+    steps = walk.steps
+    monkeypatch.setattr(walk, "steps", lambda e: dealt.append(1) or steps(e))
+    got = []
+    for few in (walk.FEW, 0):
+        monkeypatch.setattr(walk, "FEW", few)
+        got.append([sorted(map(tuple, x.collect())) for x in walk.beam_walk(seeds, mentions, edges, near)])
+        assert len(dealt) == (few == 0)
+    assert got[0] == got[1] and got[0][1] == [(1, "e", 1, 1.0), (1, "e", 2, 0.5), (1, "e", 3, 0.25)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import among
 from .vector_search import ranked
 
 
@@ -16,7 +17,7 @@ def top_nodes(scores: DataFrame, k: int) -> DataFrame:
 
 def graph_chunks(chunk_scores: DataFrame, nodes: DataFrame, node_chunks: DataFrame) -> DataFrame:
     """Chunks of surviving nodes, by the best rank among their nodes, then by score: (q_id, chunk_id, score, best_rank, position)."""
-    best = nodes.join(node_chunks, "uid").groupBy("q_id", "chunk_id").agg(F.min("rank").alias("best_rank"))
+    best = nodes.join(node_chunks.join(among(nodes.select("uid")), "uid", "left_semi"), "uid").groupBy("q_id", "chunk_id").agg(F.min("rank").alias("best_rank"))
     total = chunk_scores.groupBy("q_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return ranked(total.join(best, ["q_id", "chunk_id"]), "q_id", [F.col("best_rank"), F.desc("score"), F.col("chunk_id")], rank="position")
 
