@@ -1,5 +1,6 @@
 """Extraction and the multi-step loop on rows that can be followed by hand."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidegraph.operators import answer, ingest
@@ -28,3 +29,15 @@ def test_cached_answers(spark):
     p = spark.createDataFrame([("a",), ("b",)], "prompt string")
     cache = p.where("prompt = 'a'").select(F.md5("prompt").alias("key"), F.lit("x").alias("response"))
     assert {(r["prompt"], r["response"]) for r in ingest.answered_before(p, cache).collect()} == {("a", "x"), ("b", None)}
+
+
+def test_rows_that_share_a_doc_id(spark, tmp_path):
+    """Chunks whose ids are equal are counted once each, as the SQL counts them."""
+    from tidegraph.plans import agents, catalogue
+
+    rows = [(1, "Ada met Bob. Ada left."), (1, "Ada met Cyd."), (2, "Dan " * 400), (2, "Dan " * 400), (3, "nobody")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = agents.ingest_graph(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalogue.oracle_sql()["ingest_graph"]).fetchall()) == [(1, 3, 4), (2, 1, 6)]

@@ -21,9 +21,10 @@ def rule_extraction(spark, d):
 @query("ingest_graph", rf"""SELECT doc_id, count(DISTINCT n) AS nodes, count(*) AS mentions FROM (SELECT doc_id, seq, unnest({_NAMES}) AS n FROM (SELECT doc_id, seq, {_CAPS.format(c="substr(text, seq * 700 + 1, 800)")} AS l FROM (
   SELECT doc_id, text, unnest(range(CAST(greatest(1, ceil((length(text) - 100) / 700.0)) AS BIGINT))) AS seq FROM documents WHERE length(text) > 0))) GROUP BY doc_id""")
 def ingest_graph(spark, d):
-    chunks = chunking.fixed(table(spark, d, "documents"))
-    mentions, _ = ingest.build(chunks.select("chunk_id", "text"))
-    return mentions.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id").agg(F.count_distinct("name").alias("nodes"), F.count("*").alias("mentions"))
+    # a chunk is named with its document: ids of chunks are 48 bits of a hash, equal for rows of one doc_id and by chance for others, so none is joined back by it
+    chunks = chunking.fixed(table(spark, d, "documents")).select(F.struct("doc_id", "chunk_id").alias("chunk_id"), "text")
+    mentions, _ = ingest.build(chunks)
+    return mentions.groupBy("chunk_id.doc_id").agg(F.count_distinct("name").alias("nodes"), F.count("*").alias("mentions"))
 
 
 @query("llm_cache_join", "SELECT conv_id, turn, md5(text) IN (SELECT md5(text) FROM conversations WHERE turn = 0) AS cached FROM conversations")
