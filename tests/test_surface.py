@@ -209,3 +209,12 @@ def test_stream_driver_and_pruner(spark, tmp_path):
     stream = spark.readStream.schema("chunk_id string, ts timestamp, event_id long").parquet(src)
     access.pruned(stream, out, F.lit(at(10)), 0, 4)
     assert {r["chunk_id"] for r in spark.read.parquet(f"{out}/version=1").collect()} == {"c2", "c3", "c4", "c5"}
+
+
+def test_chunk_parts_as_counts(spark):
+    meta = "struct<entities:array<struct<uid:bigint,name:string,type:string,desc:string>>,relations:array<struct<src_uid:bigint,tgt_uid:bigint,relation:string>>>"
+    rows = [("a", "x", "t", [1, 2], ([(1, "n", "t", "d")], []), 7), ("b", None, None, None, None, 8)]
+    chunks = spark.createDataFrame(rows, f"chunk_id string, text string, ts string, entity_uids array<bigint>, graph_meta {meta}, pk bigint")
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "chunk_id string")
+    got = {r[0]: tuple(r)[1:] for r in fetch.chunk_parts(ids, chunks, counts=True, keep=("pk",)).collect()}
+    assert got == {"a": ("x", "t", 2, 1, 0, 7), "b": ("", "", 0, 0, 0, 8), "c": ("", "", 0, 0, 0, None)}

@@ -54,15 +54,14 @@ def run_info(spark, d):
   FROM orders LEFT JOIN (SELECT chunk_id, count(*) AS n FROM kg_mentions GROUP BY chunk_id) m ON m.chunk_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN (SELECT source_chunk, count(*) AS e FROM kg_edges GROUP BY source_chunk) k ON k.source_chunk = m.chunk_id WHERE n IS NOT NULL"""))
 def chunk_sink(spark, d):
     """Chunks with their metadata appended in two batches, and read back."""
-    m = X.kg_mentions(spark, d).join(X.entities(spark, d).select("uid", "name", "type", "desc"), "uid")
-    meta = ingest.graph_meta(m, X.kg_edges(spark, d))
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.col("o_orderpriority").alias("text"), F.array().cast("array<double>").alias("vec"), "o_orderkey")
-    rows, at = o.join(meta, "chunk_id"), _new(spark, "chunks")
-    for part in (0, 1):
-        store.append_chunks(rows.where(F.col("o_orderkey") % 2 == part), at, F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    back = fetch.chunk_parts(o, spark.read.parquet(at)).join(spark.read.parquet(at).select("chunk_id", "pk"), "chunk_id")
-    size = lambda c: F.size(c).cast("bigint").alias(c if c != "entity_uids" else "uids")
-    return back.select("chunk_id", "text", "ts", size("entity_uids"), size("entities"), size("relations"), "pk")
+    e, at = X.entities(spark, d).select("uid", "name", "type", "desc"), _new(spark, "chunks")
+    for part in (0, 1):  # a batch's metadata are made of its own chunks alone
+        own = lambda c: F.pmod(F.col(c).cast("bigint"), F.lit(2)) == part  # noqa: B023, E731
+        meta = ingest.graph_meta(X.kg_mentions(spark, d).where(own("chunk_id")).join(e, "uid"), X.kg_edges(spark, d).where(own("source_chunk")))
+        store.append_chunks(o.where(own("o_orderkey")).join(meta, "chunk_id"), at, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    back = fetch.chunk_parts(o.select("chunk_id").distinct(), spark.read.parquet(at), counts=True, keep=("pk",)).where("pk is not null")
+    return back.select("chunk_id", "text", "ts", *[F.col(c).cast("bigint").alias(c if c != "entity_uids" else "uids") for c in ("entity_uids", "entities", "relations")], "pk")
 
 
 @query("triplet_export", X.with_(["kg_edges"], "SELECT DISTINCT src AS head, relation, dst AS tail FROM kg_edges"))
