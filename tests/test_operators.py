@@ -426,3 +426,15 @@ def test_walks_of_few_or_many_questions(spark, small_graph, monkeypatch):
         got.append([sorted(map(tuple, x.collect())) for x in walk.beam_walk(seeds, mentions, edges, near)])
         assert len(dealt) == (few == 0)
     assert got[0] == got[1] and got[0][1] == [(1, "e", 1, 1.0), (1, "e", 2, 0.5), (1, "e", 3, 0.25)]
+
+
+def test_neighbouring_questions_share_a_block(spark):
+    """Work of the walk without a beam: questions of parts of a graph that don't meet are not put into blocks that reach all parts."""
+    got = walk._numbered(spark.range(400).select((F.col("id") * 7 % 400).alias("q_id")), 16).collect()
+    blocks = defaultdict(list)
+    for r in got:
+        blocks[r["b"]].append((r["i"], r["q_id"]))
+    assert len(got) == 400 and len(blocks) <= 400 // 16 + 4
+    for own in blocks.values():
+        assert [i for i, _ in sorted(own)] == list(range(len(own))) and len(own) <= 16
+        assert max(q for _, q in own) - min(q for _, q in own) == len(own) - 1
