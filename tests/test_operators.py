@@ -438,3 +438,12 @@ def test_neighbouring_questions_share_a_block(spark):
     for own in blocks.values():
         assert [i for i, _ in sorted(own)] == list(range(len(own))) and len(own) <= 16
         assert max(q for _, q in own) - min(q for _, q in own) == len(own) - 1
+
+
+def test_bounds_go_to_the_rows(spark):
+    """Shuffle: scores of all pairs are scaled without being dealt out by question."""
+    df = spark.createDataFrame([(1, 0.2), (1, 0.6), (1, -0.2), (2, -1.0), (3, 0.4), (None, 0.5), (None, 1.0)], "q_id long, score double")
+    got = ranking.minmax_of_many(df, "score", "n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, ranking.minmax(df, "score", "n").collect()))
+    assert len(exchanges(got)) == 1, "that of the bounds"
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import among
@@ -36,8 +36,20 @@ def minmax(df: DataFrame, value: str, out: str) -> DataFrame:
     """Values of a question scaled by the least and largest positive one, so others fall below 0; 0.5 where those are the same, as they are without any."""
     w = Window.partitionBy("q_id")
     pos = F.when(F.col(value) > 0, F.col(value))
-    low, high = F.coalesce(F.min(pos).over(w), F.lit(0.0)), F.coalesce(F.max(pos).over(w), F.lit(1.0))
-    return df.withColumn(out, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5)))
+    return df.withColumn(out, _scaled(F.col(value), F.min(pos).over(w), F.max(pos).over(w)))
+
+
+def _scaled(value: Column, least: Column, most: Column) -> Column:
+    low, high = F.coalesce(least, F.lit(0.0)), F.coalesce(most, F.lit(1.0))
+    return F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.5))
+
+
+def minmax_of_many(df: DataFrame, value: str, out: str) -> DataFrame:
+    """minmax() where rows are many and questions few: the bounds go to the rows, which are made twice and not dealt out by question."""
+    pos = F.when(F.col(value) > 0, F.col(value))
+    bounds = df.groupBy(F.col("q_id").alias("__q")).agg(F.min(pos).alias("__low"), F.max(pos).alias("__high"))
+    both = df.join(F.broadcast(bounds), F.col("q_id").eqNullSafe(F.col("__q")))
+    return both.withColumn(out, _scaled(F.col(value), F.col("__low"), F.col("__high"))).drop("__q", "__low", "__high")
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:

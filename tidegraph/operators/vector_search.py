@@ -35,6 +35,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, key: str = "chunk_
     corpus meet blocks of queries in Arrow batches: a matrix product, of which the k best a query are passed on, so what is
     sent is rows times blocks of queries, and k rows for each query and shard.
     """
+    return ranked(scores(queries, corpus, k, key, own, within), "q_id", [F.desc("score"), F.col(key)], k)
+
+
+def scores(queries: DataFrame, corpus: DataFrame, k: int | None = None, key: str = "chunk_id", own: Column | None = None, within: str | None = None) -> DataFrame:
+    """(q_id, key, score) as top_k passes them on, k or more for each query and shard; without k those of all rows, which stay where they are."""
     spark = queries.sparkSession
     n_q, n_c = queries.count(), corpus.count()
     blocks = max(1, -(-n_q // QUERY_BLOCK))
@@ -47,12 +52,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, key: str = "chunk_
     kind = queries.schema["q_id"].dataType.simpleString()
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = best_of(q, c, k)
+        out = best_of(q, c, len(c) if k is None else k)
         return pa.table({"q_id": q.column("q_id").take(pa.array(out[0])), "id": c.column("id").take(pa.array(out[1])), "score": out[2]})
 
     scored = asked.groupBy("b", "s").cogroup(rows.groupBy("b", "s")).applyInArrow(meet, f"q_id {kind}, id string, score double")
-    scored = scored.select("q_id", F.col("id").cast(corpus.schema[key].dataType).alias(key), "score")
-    return ranked(scored, "q_id", [F.desc("score"), F.col(key)], k)
+    return scored.select("q_id", F.col("id").cast(corpus.schema[key].dataType).alias(key), "score")
 
 
 def best_of(q: pa.Table, c: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

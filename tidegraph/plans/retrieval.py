@@ -107,8 +107,8 @@ def graph_only_topk(spark, d):
 @query("minmax_norm", X.with_(["scored"], "SELECT q_id, chunk_id, round(n, 6) AS norm FROM (" + _MM("score", "scored") + ")"))
 def minmax_norm(spark, d):
     """Over all pairs of questions and chunks, of which about half have scores below 0."""
-    every = vector_search.top_k(X.questions(spark, d), X.chunks(spark, d), 1 << 30, own=F.concat(F.lit("chunk_"), F.col("q_id").cast("string")))
-    return ranking.minmax(every, "score", "n").select("q_id", "chunk_id", F.round("n", 6).alias("norm"))
+    every = vector_search.scores(X.questions(spark, d), X.chunks(spark, d), own=F.concat(F.lit("chunk_"), F.col("q_id").cast("string")))
+    return ranking.minmax_of_many(every, "score", "n").select("q_id", "chunk_id", F.round("n", 6).alias("norm"))
 
 
 @query("retry_expansion", X.with_(["scored"], "SELECT q_id, chunk_id, rank FROM (SELECT q_id, chunk_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= CASE WHEN q_id % 200 = 0 THEN 20 ELSE 10 END"))
